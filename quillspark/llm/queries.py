@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, suffix_rules
+from quillspark.llm import bpe, rule_ensemble, suffix_rules, toxicity
 from quillspark.llm.common import table
 
 
@@ -25,9 +25,21 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
     "op5_bpe": op5_bpe,
+    "op7_rule_ensemble": op7_rule_ensemble,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
