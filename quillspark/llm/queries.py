@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, rule_ensemble, suffix_rules, toxicity
+from quillspark.llm import bpe, decontaminate, rule_ensemble, suffix_rules, toxicity
 from quillspark.llm.common import table
 
 
@@ -35,11 +35,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
     "op5_bpe": op5_bpe,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
