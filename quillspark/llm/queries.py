@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, rule_ensemble, suffix_rules, toxicity
+from quillspark.llm import bpe, decontaminate, page_diff, rule_ensemble, suffix_rules, toxicity
 from quillspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_ensemble.score(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
     "op5_bpe": op5_bpe,
+    "op6_page_difference": op6_page_difference,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
