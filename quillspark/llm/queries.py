@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, ngram_join, page_diff, rule_ensemble, suffix_rules, toxicity
+from quillspark.llm import bpe, decontaminate, ngram_join, page_diff, rule_ensemble, suffix_rules, surrogates, toxicity
 from quillspark.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, counts=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_repeats": op3_suffix_repeats,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
