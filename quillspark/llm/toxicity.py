@@ -109,25 +109,13 @@ class Model:
         return np.array([sum(map(kept.__getitem__, x)) / len(x) if x else 0.0 for x in lists]) + self.bias
 
 
-def telling(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """The buckets whose presence in a text depends most on its label, by chi-square; ties by number."""
-    count = lambda which: np.bincount(np.concatenate([bags[i][0] for i in which] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    texts, toxic, n = count(range(len(labels))), count(np.flatnonzero(labels == 1)), len(labels)
-    usual = texts * labels.mean()
-    chi = np.where(texts >= MIN_TEXTS, (toxic - usual) ** 2 / np.maximum(usual * (1 - texts / n), 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:KEPT]
-    return np.sort(best[chi[best] > 0])
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Gradient descent with momentum over embedding and softmax together; prior: share of class 1 among all labels."""
-    if not len(labels) or labels.min() == labels.max():
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, rows_of: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Gradient descent with momentum over embedding and softmax together. bags: indexes into rows_of (buckets)
+    and weights; prior: share of class 1 among all labels."""
+    if not len(labels) or labels.min() == labels.max() or not len(rows_of):
         return Model(np.zeros(BUCKETS), 30.0 if len(labels) and labels.min() == 1 else -30.0)
     rng, size, scale = np.random.default_rng(seed), 128, 30.0  # scale: a text's vector is a mean over hundreds of words
-    rows_of = telling(bags, labels)
-    number = np.full(BUCKETS, -1)
-    number[rows_of] = np.arange(len(rows_of))
-    bags = [(at[own], w[own] * scale) for b, w in bags for at in [number[b]] for own in [at >= 0]]
+    bags = [(b, w * scale) for b, w in bags]
     emb, soft, bias = rng.normal(0, 0.1, (len(rows_of), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     v_emb, v_soft, v_bias = np.zeros_like(emb), np.zeros_like(soft), np.zeros(2)
     share, decay = labels.mean(), 1e-4
@@ -171,25 +159,54 @@ def sample_labels(labels: DataFrame, per_class: int, id_col: str = "doc_id") ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> Model:
-    """Trains on labelled documents outside fold 0. Executors make the bags; the driver gets at most 2 * per_class."""
+    """Trains on labelled documents outside fold 0. Executors count the buckets and make
+    the bags; the driver gets KEPT buckets and at most 2 * per_class bags of those."""
     known = training_labels(labels, column, id_col)
     chosen = sample_labels(known, per_class, id_col)
-    prior = known.agg(F.avg("label").alias("p")).first()["p"]
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "label")
+    total = picked.agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
+    prior = known.agg(F.avg("label").alias("p")).first()["p"]
+    if not 0 < total["n1"] < total["n"]:
+        return train([], np.full(min(total["n"], 1), 1 if total["n1"] else 0), prior or 0.0, np.zeros(0, np.int64))
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for text, label in zip(batch.column(1), batch.column(2), strict=True):
+                b, _ = bag(text.as_py())
+                texts[b] += 1
+                toxic[b] += label.as_py()
+        at = np.flatnonzero(texts)
+        for lo in range(0, len(at), 50_000):
+            part = at[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(texts[part]), pa.array(toxic[part])], ["bucket", "texts", "toxic"])
+
+    share = total["n1"] / total["n"]
+    counts = picked.mapInArrow(presence, "bucket int, texts int, toxic int").groupBy("bucket").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
+    usual = F.col("texts") * share
+    chi = (F.col("toxic") - usual) * (F.col("toxic") - usual) / F.greatest(usual * (1 - F.col("texts") / total["n"]), F.lit(1e-9))
+    best = counts.where(F.col("texts") >= MIN_TEXTS).withColumn("chi", chi).where("chi > 0").orderBy(F.desc("chi"), "bucket").limit(KEPT)
+    rows_of = np.sort(np.array([r["bucket"] for r in best.collect()], np.int64))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[rows_of] = np.arange(len(rows_of))
+    shipped = docs.sparkSession.sparkContext.broadcast(number)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bag(x.as_py()) for x in batch.column(1)]
+            made = []
+            for x in batch.column(1):
+                b, w = bag(x.as_py())
+                at = shipped.value[b]
+                made.append((at[at >= 0].astype("<u2").tobytes(), w[at >= 0].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([b.astype("<u4").tobytes() for b, _ in made], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in made], pa.binary())],
-                ["id", "label", "buckets", "weights"],
+                [batch.column(0), batch.column(2), pa.array([b for b, _ in made], pa.binary()), pa.array([w for _, w in made], pa.binary())], ["id", "label", "buckets", "weights"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = picked.mapInArrow(bags, f"id {kind}, label int, buckets binary, weights binary").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r["id"])
-    made = [(np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(float)) for r in rows]
-    return train(made, np.array([r["label"] for r in rows], np.int64), prior or 0.0)
+    made = [(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(float)) for r in rows]
+    return train(made, np.array([r["label"] for r in rows], np.int64), prior or 0.0, rows_of)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
