@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, ngram_join, page_diff, rule_ensemble, suffix_rules, surrogates, toxicity
-from quillspark.llm.common import table
+from quillspark.llm import bpe, decontaminate, ngram_join, page_diff, rule_ensemble, suffix_rules, surrogates, token_shards, toxicity
+from quillspark.llm.common import table, work_path
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_shards.materialise(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, work_path(spark, "shards"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": op1_token_shards,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op5_bpe": op5_bpe,
