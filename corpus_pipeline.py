@@ -1,26 +1,60 @@
-"""Corpus pipeline: toxicity, near duplicates, decontamination, personal data, tokens."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, personal data, tokens.
+
+Each stage gets the documents that the one before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import bpe
+from quillspark.llm import bpe, decontaminate, ngram_join, surrogates, toxicity
+from quillspark.llm.common import stored, table
 from quillspark.llm.queries import tokenizer_path
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the least id."""
+    return ngram_join.without_copies(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by surrogates; n_chars follows the new text."""
+    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every text that is left."""
     return bpe.encode_documents(docs, tokenizer_path())
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near copies", without_copies),
+    ("decontamination", without_benchmark),
+    ("personal data", without_personal_data),
+    ("tokens", tokens),
+]
 
-#: The stages train models and search for near duplicates, which SQL can't express.
+#: The stages train models and search for near copies, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, "stage")
     return docs

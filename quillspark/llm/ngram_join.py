@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,22 +191,29 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.sortWithinPartitions("part").mapInArrow(run, "list bigint, class bigint")
 
 
-def _filtered_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, set) of the documents whose ids are wanted: a fixed-size filter of ids keeps the other texts out
-    of the shuffle, and a join on the id drops those that passed it by chance."""
-    spark = docs.sparkSession
+def id_filter(ids: DataFrame) -> Broadcast:
+    """A broadcast filter of the values of doc_id: bits of a fixed size, which may let others pass."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
-    rows = wanted.select(bit).selectExpr("cast(bit div 32 as int) as at", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    rows = ids.select(bit).selectExpr("cast(bit div 32 as int) as at", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     words = np.zeros(FILTER_BITS // 32, np.int64)
     packed = rows.toPandas()
     words[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
-    shipped = spark.sparkContext.broadcast(words.astype(np.uint32))
+    return ids.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+
+
+def _passes(words: np.ndarray, bit: pa.Array) -> np.ndarray:
+    bit = np.asarray(bit)
+    return (words[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def _filtered_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, set) of the documents whose ids are wanted: a fixed-size filter of ids keeps the other texts out
+    of the shuffle, and a join on the id drops those that passed it by chance."""
+    shipped = id_filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.asarray(batch.column(2))
-            keep = (shipped.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
-            rows = batch.filter(pa.array(keep))
+            rows = batch.filter(pa.array(_passes(shipped.value, batch.column(2))))
             found = [shingles(x.as_py()) for x in rows.column(1)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "class", "set"])
 
@@ -332,3 +340,24 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = base.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumnRenamed("doc_id", id_col)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, but one of each component: that of the least id. Only texts that a fixed-size
+    filter of the dropped ids lets pass are shuffled. Rows whose id is null stay."""
+    joined = join_documents(docs, id_col, text_col)
+    dropped = stored(joined.where(f"`{id_col}` != component_id").select(F.col(id_col).alias("doc_id")).distinct(), "dropped")
+    shipped = id_filter(dropped)
+    bit = docs.withColumn("_bit", F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(0))), F.lit(FILTER_BITS)))
+    at = len(docs.columns)
+
+    def side(inside: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_passes(shipped.value, batch.column(at)) == inside))
+
+        return bit.mapInArrow(run, bit.schema).drop("_bit")
+
+    doubtful = side(True)
+    kept = doubtful.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
+    return side(False).unionByName(kept)

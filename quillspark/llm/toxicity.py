@@ -224,3 +224,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
     return out.select(id_col, F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below the threshold. No shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shipped.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                odds = np.clip(own.log_odds(part.column(at).to_pylist()), -500, 500)
+                yield part.filter(pa.array(1 / (1 + np.exp(-odds)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
