@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, ngram_join, page_diff, rule_ensemble, suffix_rules, surrogates, token_shards, toxicity
+from quillspark.llm import bpe, decontaminate, ef_lm, ngram_join, page_diff, rule_ensemble, suffix_rules, surrogates, token_shards, toxicity
 from quillspark.llm.common import table, work_path
 
 
@@ -27,6 +27,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ef_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ef_lm.fit_and_score(table(spark, sf_dir, "documents"), work_path(spark, "lm"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_ef_lm": op4_ef_lm,
     "op5_bpe": op5_bpe,
     "op6_page_difference": op6_page_difference,
     "op7_rule_ensemble": op7_rule_ensemble,
