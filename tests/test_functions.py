@@ -22,7 +22,7 @@ def test_strip_and_capitalize(spark):
 
 def test_labels(spark):
     rows = ["A. dog", "b) x", "A", "A dog", "E. x", " c: "]
-    assert [r[0] for r in values(spark, rows, M.choice_label("t"))] == ["A", "B", None, "A", None, None]
+    assert [r[0] for r in values(spark, rows, M.choice_label("t"))] == ["A", "B", None, "A", None, "C"]
 
 
 def test_embedded_truth_takes_the_last(spark):
