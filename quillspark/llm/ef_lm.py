@@ -6,12 +6,14 @@ first token. Training texts give a trie of two levels, cut by ranges of the word
 - Level 1: the sorted hashes as an Elias-Fano sequence; a word's number is its rank. Beside it exact
   counts, back-off weights quantised to 256 values, and pointers: the running number of successors,
   Elias-Fano as well.
-- Level 2: for each word the numbers of its successors, ascending, each range raised by the last
-  value before it so that the whole level is monotone, as Elias-Fano; and log10 probabilities
-  (absolute discounting, interpolated with the unigrams) quantised to 256 values of a code book.
-
-A pair is found by successor search relative to its context: pointers give the range, the value
-before the range the offset, and the high bits' zeros lead to the only bucket that can hold it. All
+- Level 2: for each word the numbers of its successors, ascending, each range raised above the one
+  before so that the whole is monotone, as Elias-Fano; and log10 probabilities (absolute discounting,
+  interpolated with the unigrams) quantised to 256 values of a code book. Words are taken in classes of
+  like numbers of successors (a factor of 4 each), each with sequences of its own: so the density within
+  a sequence is even, and frequent words don't fill single buckets.
+
+A pair is found by successor search relative to its context: pointers give the range, the context's
+place in its class the offset, and the high bits' zeros lead to the only bucket that can hold it. All
 lookups are vectorised over a batch. Levels are files in the shared folder, written under temporary
 names and renamed, and memory-mapped by scoring tasks (from other stores they are fetched to an
 unlinked local file first), so a task's heap stays small whatever the corpus. Counting shuffles packed
@@ -41,9 +43,10 @@ from quillspark.llm.ngram_join import _LOWER, _SPACE, _mixed, _power_tables
 from quillspark.llm.token_shards import _file_system
 
 DISCOUNT = 0.75
+NO_GROUP = 255
 FLUSH = 2_000_000
 #: Every so many ones or zeros of a bit vector its place is noted.
-SAMPLE = 64
+SAMPLE = 32
 END = np.uint64(0x0123456789ABCDEF)
 
 
@@ -135,6 +138,19 @@ class EliasFano:
             out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return (out >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
 
+    def _run(self, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """How many ones follow one another from a place on: the size of a bucket."""
+        at, shift = place >> 6, (place & 63).astype(np.uint64)
+        word = self.high[at] >> shift
+        split = np.flatnonzero(shift)
+        word[split] |= self.high[at[split] + 1] << (np.uint64(64) - shift[split])
+        zero = ~word
+        out = np.bitwise_count((zero & (~zero + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        long = np.flatnonzero(out == 64)
+        if len(long):
+            out[long] = self._select(bucket[long], 0) - place[long]
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
         i = np.asarray(i, np.int64)
@@ -152,7 +168,7 @@ class EliasFano:
         start = np.zeros(len(live), np.int64)
         later = bucket > 0
         start[later] = self._select(bucket[later] - 1, 0) - (bucket[later] - 1)
-        stop = self._select(bucket, 0) - bucket
+        stop = start + self._run(start + bucket, bucket)
         want = target[live] & np.uint64((1 << self.width) - 1)
         lo, hi = start.copy(), stop.copy()
         open_ = np.flatnonzero(lo < hi)
@@ -283,17 +299,21 @@ class Words:
             p, at = order[int(part[lo])], known[lo:hi]
             level = self.level(f"pairs-{p:06d}")
             context, back = np.unique(first[at] - self.offset[p], return_inverse=True)
-            pointers, values = EliasFano(level, "pointer."), EliasFano(level, "next.")
-            start, stop = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
-            base = np.zeros(len(context), np.uint64)
-            inner = start > 0
-            base[inner] = values.get(start[inner] - 1)
-            weight = level["weight_book"][level["weights"][context]]
-            out[at] += weight[back]
-            ask = np.flatnonzero((second[at] >= 0) & (stop > start)[back])
-            found = values.find(base[back[ask]] + second[at[ask]].astype(np.uint64) + np.uint64(1))
-            good = (found >= start[back[ask]]) & (found < stop[back[ask]])
-            out[at[ask[good]]] = level["book"][level["codes"][found[good]]]
+            out[at] += level["weight_book"][level["weights"][context]][back]
+            group, place = level["group"][context], level["place"][context].astype(np.int64)
+            value = (place.astype(np.uint64) * np.uint64(self.distinct))[back] + second[at].astype(np.uint64)
+            asked = (second[at] >= 0) & (group != NO_GROUP)[back]
+            for g in np.unique(group):
+                if g == NO_GROUP:
+                    continue
+                ask = np.flatnonzero(asked & (group == g)[back])
+                found = EliasFano(level, f"next{g}.").find(value[ask])
+                hit = np.flatnonzero(found >= 0)
+                ask, found = ask[hit], found[hit]
+                own, of = np.unique(back[ask], return_inverse=True)
+                pointers = EliasFano(level, f"pointer{g}.")
+                good = (found >= pointers.get(place[own]).astype(np.int64)[of]) & (found < pointers.get(place[own] + 1).astype(np.int64)[of])
+                out[at[ask[good]]] = level["book"][level[f"codes{g}"][found[good]]]
         return out
 
 
@@ -417,21 +437,27 @@ def build(docs: DataFrame, path: str, training: Column, text_col: str = "text",
             context = first - own.offset[part]
             n = own.sizes[part][0]
             children = np.bincount(context, minlength=n)
-            pointer = np.concatenate(([0], children.cumsum()))
             mine = own.level(f"words-{part:06d}")["counts"].astype(np.int64)
             weight = np.log10(np.where(children > 0, DISCOUNT * children / mine, 1.0))
             lower = 10 ** own.unigram(_counts_of(own, second))
             p = np.log10((counts - DISCOUNT) / mine[context] + DISCOUNT * children[context] / mine[context] * lower)
-            # each range starts above the last value of the range before
-            last = pointer[1:][children > 0] - 1
-            raised = np.zeros(n, np.int64)
-            raised[np.flatnonzero(children > 0)] = np.concatenate(([0], (second[last] + 1).cumsum()[:-1]))
-            level = raised[context] + second + 1
             book, codes = code_book(p)
             weight_book, weights = code_book(weight)
-            arrays = {f"pointer.{k}": x for k, x in ef_encode(pointer, len(second) + 1).items()}
-            arrays |= {f"next.{k}": x for k, x in ef_encode(level, int(level[-1]) + 1 if len(level) else 1).items()}
-            write_level(path, f"pairs-{part:06d}", arrays | {"codes": codes, "book": book, "weights": weights, "weight_book": weight_book})
+            group = np.full(n, NO_GROUP, np.uint8)
+            has = children > 0
+            group[has] = (np.log2(children[has]).astype(np.int64) // 2).astype(np.uint8)
+            place = np.zeros(n, np.int32)
+            arrays = {"book": book, "weights": weights, "weight_book": weight_book, "group": group, "place": place}
+            for g in np.unique(group[has]):
+                words_of = np.flatnonzero(group == g)
+                place[words_of] = np.arange(len(words_of))
+                rows_of = np.flatnonzero(group[context] == g)
+                value = place[context[rows_of]] * np.int64(own.distinct) + second[rows_of]
+                pointer = np.concatenate(([0], children[words_of].cumsum()))
+                arrays |= {f"pointer{g}.{k}": x for k, x in ef_encode(pointer, len(rows_of) + 1).items()}
+                arrays |= {f"next{g}.{k}": x for k, x in ef_encode(value, len(words_of) * own.distinct).items()}
+                arrays[f"codes{g}"] = codes[rows_of]
+            write_level(path, f"pairs-{part:06d}", arrays)
             yield pa.RecordBatch.from_arrays([pa.array([len(second)], pa.int64())], ["pairs"])
 
     def _counts_of(own: Words, number: np.ndarray) -> np.ndarray:
@@ -468,7 +494,7 @@ def score(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
             for i, text in enumerate(batch.column(1)):
                 held.append(word_hashes(text.as_py()))
                 size += len(held[-1])
-                if size >= FLUSH // 4:
+                if size >= FLUSH // 2:
                     yield scored(own, batch.slice(lo, i + 1 - lo), held)
                     lo, held, size = i + 1, [], 0
             if held:
