@@ -1,0 +1,145 @@
+"""Token shards, classifiers, decontamination, surrogates and the entry point."""
+
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, decontaminate, rule_ensemble, surrogates, token_shards, toxicity
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
+def test_permutation(n):
+    slots = token_shards.permute(np.arange(n), n)
+    assert sorted(slots) == list(range(n)) and (token_shards.permute(slots, n, back=True) == np.arange(n)).all()
+
+
+def test_shards_hold_every_token(spark, tmp_path):
+    rows = [(1, "one two three " * 200), (2, None), (3, ""), (4, "<|endoftext|> x"), (1, "again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as slot").coalesce(2)
+    path = str(tmp_path / "shards")
+    out = token_shards.materialise(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path, seq=64, records=3).toPandas()
+    assert sorted(out.slot) == list(range(len(out)))
+    read = list(token_shards.read_slots(path, 0, len(out), seq=64, records=3))
+    assert [d for d, _, _ in read] == out.sort_values("slot").doc_id.tolist()
+    assert sum(len(ids) for _, _, ids in read) == out.n_tokens.sum()
+    coder = bpe.coder_for(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    first = np.concatenate([ids for d, n, ids in sorted(((d, n, ids) for d, n, ids in read if d == 1 and len(ids) > 4), key=lambda x: x[1])])
+    assert coder.decode(first.tolist()).startswith("one two three one")
+    assert [x[0] for x in token_shards.read_slots(path, 4, 6, seq=64, records=3)] == [x[0] for x in read[4:6]]
+    empty = token_shards.materialise(docs.where("false"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, str(tmp_path / "none"))
+    assert empty.count() == 0
+
+
+def edit_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        items = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(30)))) for i in range(3)]
+        text = "".join(rng.choice("abc ") for _ in range(rng.randrange(40))) + " " + items[0][1] + "b"
+        rate = rng.choice([0.1, 0.2, 0.3])
+        plain = [(i, decontaminate.plain(x)) for i, x in items]
+        want = [(i, d) for i, p in plain if p and (d := edit_distance(p, decontaminate.plain(text))) <= int(len(p) * rate)]
+        assert decontaminate.Matcher(items, rate).matches(text) == want
+
+
+def test_decontamination_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (40,))
+    item = "a passage of the benchmark that is long enough to be met"
+    docs = spark.createDataFrame([(1, "x " + item.upper() + "!"), (2, "clean"), (3, None), (4, ""), (5, item.replace("long", "lonq")), (1, item)], "doc_id bigint, text string").selectExpr("*", "'s' as item_id")
+    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, item), (11, "quite another text")], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(1, 7, 0), (1, 7, 0), (1, 10, 0), (1, 10, 0), (5, 7, 1), (5, 10, 1)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, items).collect()) == [2, 3, 4]
+    assert decontaminate.matches(docs, items.where("false")).count() == 0 and decontaminate.matches(docs.where("false"), items).count() == 0
+
+
+TEXTS = [
+    (1, 'Call +1 (017) 555-7713 or 9807915762804490, und.34@mail7.example.com; IP 97.51.17.173. token = "ffc3105535f423f352535e4ac53b5fefe076ac6d" v1.2.3.4.5'),
+    (2, "Mr. John Smith met Frau Müller and Dr. Anna Smith. Mr. Smith left. UND.34@mail7.example.com +1 017 555 7713"),
+    (3, None), (4, ""), (5, "no entity 12 2.0 here GNU version 3."), (6, "4111111111111111 4111 1111 1111 1111 123-45-6789"),
+]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(digits)) % 10 == 0
+
+
+def test_surrogates(spark):
+    docs = spark.createDataFrame(TEXTS + [(100 + i, f"a.{i}@x.org") for i in range(40)], "doc_id bigint, text string").selectExpr("*", "doc_id as m")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, counts=True).collect()}
+    a, b = got[1].text, got[2].text
+    for secret in ("017", "555-7713", "9807915762804490", "mail7", "97.51.17.173", "ffc310", "Smith", "John", "Müller", "Anna"):
+        assert secret not in a and secret not in b
+    assert got[1].n_entities == 5 and a.endswith("v1.2.3.4.5") and re.match(r"Call \+1 \(\d{3}\) \d{3}-\d{4} or \d{16}, ", a)
+    assert re.search(r"\S+@\S+", a)[0].rstrip(";") == re.search(r"\S+@\S+", b)[0]  # coreference, letter case aside
+    assert re.sub(r"\D", "", re.search(r"\+1 \(.*?-\d{4}", a)[0]) == re.sub(r"\D", "", b[b.rindex("+1") :])
+    names = re.match(r"Mr\. (\w+) (\w+) met Frau (\w+) and Dr\. (\w+) (\w+)\. Mr\. (\w+) left", b)
+    assert names[2] == names[5] == names[6] != names[3] and names[1] in surrogates.GIVEN_MALE and names[4] in surrogates.GIVEN_FEMALE
+    assert got[3].text is None and got[4].text == "" and got[5].text == TEXTS[4][1]
+    card = got[6].text[:16]
+    assert card != "4111111111111111" and card[0] == "4" and luhn(card) and got[6].text[17:36].replace(" ", "") == card
+    mails = [got[100 + i].text for i in range(40)]
+    assert len(set(mails)) == 40  # collisions were tried again
+    assert surrogates.pseudonymise(docs.where("false")).count() == 0
+
+
+def test_number_cipher_is_a_bijection(spark):
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    moved = [r[0] for r in rows.select(surrogates._feistel_digits(F.col("d"), "t")).collect()]
+    assert len(set(moved)) == 1000 and all(len(x) == 3 for x in moved)
+
+
+def test_toxicity_learns_and_generalises(spark):
+    rng = random.Random(1)
+    words = [f"{a}{b}" for a in ("stone", "river", "cloud", "field", "table") for b in ("s", "ly", "ing", "er", "ed")]
+    bad = ["moronic", "morons", "moronish", "moronly", "morond"]
+    text = lambda toxic: " ".join(rng.choice(words) for _ in range(40)) + (" " + " ".join(rng.choice(bad) for _ in range(4)) if toxic else "")
+    rows = [(i, text(i % 4 == 0), i % 4 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "stones moronest cloudly " * 3)], "doc_id bigint, text string").selectExpr("*", "1 as label")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [(got[i].predicted, int(y)) for i, _, y in rows if got[i].held_out]
+    assert len(held) > 40 and sum(p == y for p, y in held) >= 0.95 * len(held)
+    assert got[902].predicted == 1 and got[900].score == got[901].score < 0.5
+    assert {r.doc_id for r in toxicity.keep_clean(docs, model).collect()} == {i for i, r in got.items() if r.predicted == 0}
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    untrained = toxicity.fit(docs, labels.where("false"))
+    assert all(r.predicted == 0 for r in toxicity.score(docs, untrained).collect())
+
+
+def test_rules_learn_and_compile(spark):
+    rng = random.Random(2)
+    clean = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(80)) + "."
+    junk = lambda: rng.choice([" | ".join(f"x{rng.randrange(99)}" for _ in range(50)), "the " * 60, " ".join(f"w{rng.randrange(5000)}%%%" for _ in range(60))])
+    rows = [(i, clean() if i % 3 else junk(), int(i % 3 > 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id bigint, text string").selectExpr("*", "2 as n_words")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, None)], "doc_id bigint, quality int")
+    model = rule_ensemble.fit(docs, labels)
+    got = {r.doc_id: r for r in rule_ensemble.score(docs, model).collect()}
+    assert 0 < len(model.rules) < 60 and len(got) == 302 and got[900].score == got[901].score
+    assert all(got[i].predicted == y for i, _, y in rows if got[i].held_out)
+    stats = np.array([rule_ensemble.statistics(t) for _, t, _ in rows])
+    assert np.allclose(1 / (1 + np.exp(-model.log_odds(stats))), [got[i].score for i, _, _ in rows])
+    assert rule_ensemble.score(docs.where("false"), model).count() == 0
+    assert all(r.score == 0.5 for r in rule_ensemble.score(docs, rule_ensemble.fit(docs, labels.where("false"))).collect())
+
+
+def test_entry_has_eleven():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
