@@ -14,9 +14,11 @@ aside, and the others, its short lists, are merged:
    member that shares most lists, are formed, so large groups of near copies give a pair a member.
 4. The long lists are probed: candidates' whole sorted hash arrays are searched by bisection.
 5. Links are contracted by label passing (large star, small star), each round written to the shared folder.
-6. Classes that were paired with the same centre but lie in different components can still link. As
-   Jaccard distance is a metric, |d(c,x) - d(c,y)| > 0.2 rules a pair out; all others are probed
-   too, and the components are closed again. So no link between different texts is lost.
+6. In a list with centre c, a member y that doesn't link to c can still link to one that does, x. As Jaccard
+   distance is a metric, that needs |d(c,x) - d(c,y)| <= 0.2; such pairs in different components are probed.
+   Pairs of members that both don't link to c remain: their lists, without the others, go through
+   steps 2 to 6 again (a pair that no small list gave shares ceil(0.1 n) of these lists), and after ROUNDS
+   rounds all pairs that are left are probed. So no link between different texts is lost.
 
 Cases: null and blank texts have empty sets and are alone (component_id is their own id). Equal
 texts, and repeated rows, share a class. Empty tables give an empty result. Only the id and text
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import shared_dir, stored
@@ -41,6 +43,9 @@ WIDTH = 5
 SMALL = 6
 #: Bits of the filter of candidate ids: a fixed 4 MB, whatever the number of documents.
 FILTER_BITS = 1 << 25
+ROUNDS = 2
+#: One of so many sets is read to find frequent shingles: those of at least LEAST of them, and of 1 in 20,000.
+SAMPLE, LEAST = 16, 4
 FLUSH = 1_000_000
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -120,8 +125,17 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, class bigint")
 
 
-def _postings(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """Short postings, packed by part: hashes and classes as arrays, each class once a flush."""
+def _postings(docs: DataFrame, text_col: str, parts: int, frequent: Broadcast | None) -> DataFrame:
+    """Short postings, packed by part: hashes and classes as arrays, each class once a flush. Without the filter of
+    frequent shingles: all postings of a sample of the classes."""
+
+    def chosen(found: np.ndarray, name: int) -> np.ndarray | None:
+        if frequent is None:
+            return found if name % SAMPLE == 0 else None
+        later = _passes(frequent.value, (found % np.uint64(FILTER_BITS)).astype(np.int64))
+        n = short_lists(len(found))
+        rare = found[~later]
+        return rare[:n].copy() if len(rare) >= n else np.concatenate((rare, found[later][: n - len(rare)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -143,9 +157,9 @@ def _postings(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 found = shingles(text.as_py())
-                if len(found) and (name := class_of(found)) not in held:
-                    held[name] = found[: short_lists(len(found))].copy()
-                    size += len(held[name])
+                if len(found) and (name := class_of(found)) not in held and (taken := chosen(found, name)) is not None:
+                    held[name] = taken
+                    size += len(taken)
                     if size >= FLUSH:
                         yield flush()
                         size = 0
@@ -191,17 +205,29 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.sortWithinPartitions("part").mapInArrow(run, "list bigint, class bigint")
 
 
-def id_filter(ids: DataFrame) -> Broadcast:
-    """A broadcast filter of the values of doc_id: bits of a fixed size, which may let others pass."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
-    rows = ids.select(bit).selectExpr("cast(bit div 32 as int) as at", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+def _filter_of(bits: DataFrame) -> Broadcast:
+    """A broadcast bit array of a fixed size from a column bit."""
+    rows = bits.selectExpr("cast(bit div 32 as int) as at", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     words = np.zeros(FILTER_BITS // 32, np.int64)
     packed = rows.toPandas()
     words[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+    return bits.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
+
+
+def id_filter(ids: DataFrame) -> Broadcast:
+    """A broadcast filter of the values of doc_id, which may let others pass."""
+    return _filter_of(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")))
+
 
+def _frequent(docs: DataFrame, text_col: str, parts: int, classes: DataFrame) -> Broadcast:
+    """The filter of frequent shingles."""
+    sampled = classes.where(F.col("class") % SAMPLE == 0).count()
+    least = max(LEAST, sampled // 20_000)
+    sizes = _lists(_postings(docs, text_col, parts, None)).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _filter_of(sizes.select(F.pmod(F.col("list"), F.lit(FILTER_BITS)).alias("bit")))
 
-def _passes(words: np.ndarray, bit: pa.Array) -> np.ndarray:
+
+def _passes(words: np.ndarray, bit: pa.Array | np.ndarray) -> np.ndarray:
     bit = np.asarray(bit)
     return (words[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
 
@@ -288,6 +314,14 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
+def _with(known: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if known is None else known.unionByName(more)
+
+
+def _links(probed: DataFrame) -> DataFrame:
+    return probed.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -296,43 +330,51 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = stored(_sets(docs, id_col, text_col), "sets")
     classes = base.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
-    lists = stored(_lists(_postings(docs, text_col, parts)), "lists")
+    lists = stored(_lists(_postings(docs, text_col, parts, _frequent(docs, text_col, parts, classes))), "lists")
     sharing = lists.groupBy("class").agg(F.count("*").alias("shares")).join(classes, "class")
     live = stored(sharing.where(F.col("shares") >= F.ceil(F.col("n") / 10)), "live")
-    # members of the lists, with what each class shares; the centre is the one that shares most
-    member = lists.join(live.select("class", "shares", "n"), "class")
-    rank = F.struct(F.col("shares"), -F.col("class"))
-    heads = member.groupBy("list").agg(F.count("*").alias("m"), F.max(rank).alias("top"))
-    heads = heads.where("m > 1").select("list", "m", (-F.col("top.col2")).alias("centre"))
-    few = member.join(heads.where(F.col("m") <= SMALL).select("list"), "list").groupBy("list").agg(F.sort_array(F.collect_list(F.struct("class", "n"))).alias("all"))
-    one = few.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    alike = "least(x.n, y.n) * 100 >= 80 * greatest(x.n, y.n)"
-    close = one.where(alike).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().withColumn("star", F.lit(False))
-    star = member.select("list", "class").join(heads.where(F.col("m") > SMALL).select("list", "centre"), "list").where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct().withColumn("star", F.lit(True))
-    pairs = stored(close.unionByName(star).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-    paired = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = live.select("class", "doc_id").join(paired, "class")
+    members = stored(lists.join(live.select("class", "n"), "class").select("list", "class", "n"), "members")
+    paired = members.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = live.select("class", "doc_id").join(members.join(paired, "list").select("class").distinct(), "class")
     sets = stored(_filtered_sets(docs, wanted, id_col, text_col), "sets")
-
-    probed = stored(_probed(pairs.select("a", "b"), sets), "probed")
-    links = probed.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = stored(components(links), "roots")
-
-    # classes around one centre that are still apart
-    ring = probed.join(pairs.where("star").select("a", "b"), ["a", "b"]).select("a", "b", F.col("nb").alias("n"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    root = lambda c: F.coalesce(F.col(c), F.col("b"))
-    ring = ring.join(found.withColumnRenamed("class", "b"), "b", "left").withColumn("root", root("root"))
-    ring = ring.join(found.select(F.col("class").alias("a"), F.col("root").alias("home")), "a", "left").withColumn("home", F.coalesce("home", "a"))
-    outside = ring.where("root != home").select("a", F.col("b").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-    # d is a quotient of integers below 2**31, exact to 1e-15; 1e-9 is on the safe side
-    apart = outside.join(ring, "a").where("rx != root and x != b and abs(dx - d) <= 0.2 + 1e-9 and least(nx, n) * 100 >= 80 * greatest(nx, n)")
-    apart = apart.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-    more = stored(apart.join(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        late = stored(_probed(more, sets).where(LINKED), "late")
-        if not late.isEmpty():
-            links = links.unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            found = stored(components(links), "roots")
+    known, found = None, None
+    for turn in range(ROUNDS + 1):
+        # the first round weighs all lists, later ones those whose pairs are still open
+        enough = members.groupBy("class").agg(F.count("*").alias("shares"), F.first("n").alias("n")).where(F.col("shares") >= F.ceil(F.col("n") / 10))
+        member = members.join(enough.select("class", "shares"), "class").join(members.groupBy("list").agg(F.count("*").alias("size")), "list")
+        # a pair shares ceil(0.1 n) of these, so one of them is left when so many less one, the longest, are put aside
+        place = F.row_number().over(Window.partitionBy("class").orderBy("size", "list"))
+        member = member.withColumn("place", place).where(F.col("place") <= F.col("shares") - F.ceil(F.col("n") / 10) + 1).drop("place", "size")
+        heads = member.groupBy("list").agg(F.count("*").alias("m"), F.max(F.struct(F.col("shares"), -F.col("class"))).alias("top"))
+        heads = heads.where("m > 1").select("list", "m", (-F.col("top.col2")).alias("centre"))
+        most = SMALL if turn < ROUNDS else 1 << 62
+        rows = stored(member.join(heads, "list").select("list", "class", "n", "m", "centre"), "rows")
+        few = rows.where(F.col("m") <= most)
+        left, right = few.select("list", F.col("class").alias("a"), F.col("n").alias("na")), few.select("list", F.col("class").alias("b"), F.col("n").alias("nb"))
+        close = left.join(right, "list").where("a < b and least(na, nb) * 100 >= 80 * greatest(na, nb)").select("a", "b")
+        long = rows.where((F.col("m") > most) & (F.col("class") != F.col("centre")))
+        star = long.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b"))
+        pairs = close.unionByName(star).distinct()
+        new = stored(pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        known = _with(known, stored(_probed(new, sets), "probed"))
+        found = stored(components(_links(known)), "roots")
+        if long.isEmpty():
+            break
+        # distances to the centre: once for each ring, whatever the number of lists
+        jaccard = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+        ring = long.select("centre", "class", "n").distinct().withColumn("a", F.least("centre", "class")).withColumn("b", F.greatest("centre", "class"))
+        ring = ring.join(known.select("a", "b", (1 - jaccard).alias("d"), F.expr(LINKED).alias("linked")), ["a", "b"]).drop("a", "b")
+        ring = stored(ring.join(found, "class", "left").select("centre", "class", "n", "d", "linked", F.coalesce("root", "class").alias("root")), "ring")
+        # d is a quotient of integers below 2**31, exact to 1e-15; 1e-9 is on the safe side
+        outer = ring.where("not linked and d <= 0.4 + 1e-9").select("centre", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("nx"))
+        near = outer.join(ring.where("linked"), "centre").where("rx != root and dx - d <= 0.2 + 1e-9 and least(nx, n) * 100 >= 80 * greatest(nx, n)")
+        near = near.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+        near = stored(near.join(known.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        if not near.isEmpty():
+            known = _with(known, stored(_probed(near, sets), "probed"))
+            found = stored(components(_links(known)), "roots")
+        open_ = ring.where("not linked").select("centre", "class")
+        members = stored(long.join(open_, ["centre", "class"]).select("list", "class", "n"), "members")
 
     named = classes.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
