@@ -19,7 +19,9 @@ strings in a text are ordinary text. Only the id and text columns are read; text
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import _SPACED, keep
-
 SEQ = 256
 HEADER = 16
 RECORDS = 16_384
@@ -79,39 +79,33 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 # --- tokens ------------------------------------------------------------------------------------
 
 
-class PieceCoder:
-    """Ids as uint16 bytes; pieces between single spaces are kept, the library encodes those that are new."""
+class Coder:
+    """The library's byte-pair encoder over a rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.spaced: dict[str, bytes] = {}
+
+    def count(self, text: str | None) -> int:
+        return len(self.encode(text)) if text else 0
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if "" in parts or _SPACED.search(text):
-            return np.array(self.encode(text), "<u2").tobytes()
-        out = list(map(self.spaced.get, parts))
-        out[0] = np.array(self.encode(parts[0]), "<u2").tobytes()
-        if None in out:
-            for i, known in enumerate(out):
-                if known is None:
-                    out[i] = known = np.array(self.encode(" " + parts[i]), "<u2").tobytes()
-                    keep(self.spaced, parts[i], known)
-        return b"".join(out)
+        """Ids as little-endian uint16."""
+        made = array("H", self.encode(text) if text else ())
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
 
-_coder: dict[int, PieceCoder] = {}
+_coder: dict[int, Coder] = {}
 
 
-def _coder_for(shipped) -> PieceCoder:
+def _coder_for(shipped) -> Coder:
     ranks, pattern = shipped.value
     if len(ranks) not in _coder:
         _coder.clear()
-        _coder[len(ranks)] = PieceCoder(ranks, pattern)
+        _coder[len(ranks)] = Coder(ranks, pattern)
     return _coder[len(ranks)]
 
 
@@ -180,7 +174,7 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, path: str, id_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, n = _coder_for(shipped), 0
         for batch in batches:
-            n += sum((len(coder.ids(x.as_py())) // 2 + seq) // seq for x in batch.column(1))
+            n += sum((coder.count(x.as_py()) + seq) // seq for x in batch.column(1))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
     counts = {r["part"]: r["n"] for r in source.mapInArrow(count, "part int, n bigint").collect()}
