@@ -16,9 +16,13 @@ aside, and the others, its short lists, are merged:
 5. Links are contracted by label passing (large star, small star), each round written to the shared folder.
 6. In a list with centre c, a member y that doesn't link to c can still link to one that does, x. As Jaccard
    distance is a metric, that needs |d(c,x) - d(c,y)| <= 0.2; such pairs in different components are probed.
-   Pairs of members that both don't link to c remain: their lists, without the others, go through
-   steps 2 to 6 again (a pair that no small list gave shares ceil(0.1 n) of these lists), and after ROUNDS
-   rounds all pairs that are left are probed. So no link between different texts is lost.
+   Pairs of members that both don't link to c remain: their lists, without the others, are searched again
+   from step 3 with a new centre. They are not counted or cut again, as the first cut leaves a pair only one
+   common list. After ROUNDS rounds all open pairs are probed. So no link between different texts is lost.
+
+A pair is not probed if its sizes, or its reaches, rule a link out: no other set holds more of a set's hashes than
+its reach, the short lists it shares and the L that were put aside, and a link needs 4/9 of both sizes. Nor is
+it after the first round if its members are in one component already.
 
 Cases: null and blank texts have empty sets and are alone (component_id is their own id). Equal
 texts, and repeated rows, share a class. Empty tables give an empty result. Only the id and text
@@ -268,6 +272,8 @@ def _probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 LINKED = "100 * common >= 80 * (na + nb - common)"
+#: What a pair that links fulfils.
+POSSIBLE = "least(na, nb) * 100 >= 80 * greatest(na, nb) and 9 * least(reacha, reachb) >= 4 * (na + nb)"
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -322,8 +328,8 @@ def _links(probed: DataFrame) -> DataFrame:
     return probed.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, class) of every document, and (class, doc_id, n, root) of every class that isn't empty."""
     spark = docs.sparkSession
     shared_dir(spark)
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -334,24 +340,32 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sharing = lists.groupBy("class").agg(F.count("*").alias("shares")).join(classes, "class")
     live = stored(sharing.where(F.col("shares") >= F.ceil(F.col("n") / 10)), "live")
     members = stored(lists.join(live.select("class", "n"), "class").select("list", "class", "n"), "members")
+    sizes = members.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(members.join(sizes, "list"), "members")
+    enough = members.groupBy("class").agg(F.count("*").alias("shares"), F.first("n").alias("n")).where(F.col("shares") >= F.ceil(F.col("n") / 10))
+    # no other set holds more of a set's hashes than the short lists it shares and those put aside
+    enough = enough.select("class", "shares", F.expr("shares + least((4 * n + 4) div 5 - 1, 7 * n div 10)").alias("reach"))
+    # a pair shares ceil(0.1 n) of these, so one of them is left when so many less one, the longest, are put aside
+    place = F.row_number().over(Window.partitionBy("class").orderBy("size", "list"))
+    member = members.join(enough, "class").withColumn("place", place).where(F.col("place") <= F.col("shares") - F.ceil(F.col("n") / 10) + 1)
+    members = stored(member.select("list", "class", "n", "shares", "reach"), "members")
     paired = members.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
     wanted = live.select("class", "doc_id").join(members.join(paired, "list").select("class").distinct(), "class")
     sets = stored(_filtered_sets(docs, wanted, id_col, text_col), "sets")
     known, found = None, None
     for turn in range(ROUNDS + 1):
-        # the first round weighs all lists, later ones those whose pairs are still open
-        enough = members.groupBy("class").agg(F.count("*").alias("shares"), F.first("n").alias("n")).where(F.col("shares") >= F.ceil(F.col("n") / 10))
-        member = members.join(enough.select("class", "shares"), "class").join(members.groupBy("list").agg(F.count("*").alias("size")), "list")
-        # a pair shares ceil(0.1 n) of these, so one of them is left when so many less one, the longest, are put aside
-        place = F.row_number().over(Window.partitionBy("class").orderBy("size", "list"))
-        member = member.withColumn("place", place).where(F.col("place") <= F.col("shares") - F.ceil(F.col("n") / 10) + 1).drop("place", "size")
-        heads = member.groupBy("list").agg(F.count("*").alias("m"), F.max(F.struct(F.col("shares"), -F.col("class"))).alias("top"))
+        # a pair is sure of one list only, so the lists whose pairs are still open are not counted or cut again
+        heads = members.groupBy("list").agg(F.count("*").alias("m"), F.max(F.struct(F.col("shares"), -F.col("class"))).alias("top"))
         heads = heads.where("m > 1").select("list", "m", (-F.col("top.col2")).alias("centre"))
         most = SMALL if turn < ROUNDS else 1 << 62
-        rows = stored(member.join(heads, "list").select("list", "class", "n", "m", "centre"), "rows")
+        rows = stored(members.join(heads, "list"), "rows")
         few = rows.where(F.col("m") <= most)
-        left, right = few.select("list", F.col("class").alias("a"), F.col("n").alias("na")), few.select("list", F.col("class").alias("b"), F.col("n").alias("nb"))
-        close = left.join(right, "list").where("a < b and least(na, nb) * 100 >= 80 * greatest(na, nb)").select("a", "b")
+        if found is None:
+            few = few.withColumn("root", F.col("class"))
+        else:
+            few = few.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        left, right = (few.select("list", F.col("class").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "reach", "root"))) for x in "ab")
+        close = left.join(right, "list").where(f"a < b and roota != rootb and {POSSIBLE}").select("a", "b")
         long = rows.where((F.col("m") > most) & (F.col("class") != F.col("centre")))
         star = long.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b"))
         pairs = close.unionByName(star).distinct()
@@ -362,21 +376,26 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
         # distances to the centre: once for each ring, whatever the number of lists
         jaccard = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-        ring = long.select("centre", "class", "n").distinct().withColumn("a", F.least("centre", "class")).withColumn("b", F.greatest("centre", "class"))
+        ring = long.select("centre", "class", "n", "reach").distinct().withColumn("a", F.least("centre", "class")).withColumn("b", F.greatest("centre", "class"))
         ring = ring.join(known.select("a", "b", (1 - jaccard).alias("d"), F.expr(LINKED).alias("linked")), ["a", "b"]).drop("a", "b")
-        ring = stored(ring.join(found, "class", "left").select("centre", "class", "n", "d", "linked", F.coalesce("root", "class").alias("root")), "ring")
+        ring = stored(ring.join(found, "class", "left").select("centre", "class", "n", "reach", "d", "linked", F.coalesce("root", "class").alias("root")), "ring")
         # d is a quotient of integers below 2**31, exact to 1e-15; 1e-9 is on the safe side
-        outer = ring.where("not linked and d <= 0.4 + 1e-9").select("centre", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-        near = outer.join(ring.where("linked"), "centre").where("rx != root and dx - d <= 0.2 + 1e-9 and least(nx, n) * 100 >= 80 * greatest(nx, n)")
+        outer = ring.where("not linked and d <= 0.4 + 1e-9").select("centre", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("na"), F.col("reach").alias("reacha"))
+        inner = ring.where("linked").withColumnRenamed("n", "nb").withColumnRenamed("reach", "reachb")
+        near = outer.join(inner, "centre").where(f"rx != root and dx - d <= 0.2 + 1e-9 and {POSSIBLE}")
         near = near.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
         near = stored(near.join(known.select("a", "b"), ["a", "b"], "left_anti"), "near")
         if not near.isEmpty():
             known = _with(known, stored(_probed(near, sets), "probed"))
             found = stored(components(_links(known)), "roots")
         open_ = ring.where("not linked").select("centre", "class")
-        members = stored(long.join(open_, ["centre", "class"]).select("list", "class", "n"), "members")
+        members = stored(long.join(open_, ["centre", "class"]).select("list", "class", "n", "shares", "reach"), "members")
+    return base, classes.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    named = classes.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    base, named = _grouped(docs, id_col, text_col, parts)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("class", "component_id")
     out = base.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -54,6 +54,23 @@ def test_against_brute_force(spark, seed):
     assert sorted(tuple(r) for r in J.join_documents(docs).collect()) == brute(rows)
 
 
+def around_a_passage(seed, start):
+    """20 to 60 texts with one passage, some blocks of words that others hold too, and words of their own."""
+    rng, rows = random.Random(seed), []
+    common, n_blocks, long, per, own, texts = (rng.choice(x) for x in ([60, 80, 100, 120, 160], [5, 6, 8], [6, 7, 8, 10], [1, 2, 3], [0, 1, 2, 4, 8, 12], [20, 40, 60]))
+    passage, blocks = [f"g{seed}p{i}" for i in range(common)], [[f"g{seed}b{b}w{i}" for i in range(long)] for b in range(n_blocks)]
+    for t in range(texts):
+        chosen = [w for b in sorted(rng.sample(range(n_blocks), per)) for w in blocks[b]]
+        rows.append((start + t, " ".join(passage + chosen + [f"g{seed}u{t}x{i}" for i in range(own)])))
+    return rows
+
+
+def test_links_away_from_the_centre(spark):
+    rows = [r for seed in (1, 26, 43, 78, 102, 134) for r in around_a_passage(seed, 1000 * seed)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in J.join_documents(docs).collect()) == brute(rows)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "x " * 30_000)], "doc_id bigint, text string").selectExpr("*", "1 as class", "2 as n")
     got = J.join_documents(docs).collect()
