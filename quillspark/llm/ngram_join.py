@@ -404,21 +404,39 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, but one of each component: that of the least id. Only texts that a fixed-size
-    filter of the dropped ids lets pass are shuffled. Rows whose id is null stay."""
-    joined = join_documents(docs, id_col, text_col)
-    dropped = stored(joined.where(f"`{id_col}` != component_id").select(F.col(id_col).alias("doc_id")).distinct(), "dropped")
-    shipped = id_filter(dropped)
-    bit = docs.withColumn("_bit", F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(0))), F.lit(FILTER_BITS)))
-    at = len(docs.columns)
+    """The rows, all columns, but one of each component: that of the least id, then class, then other columns. Only
+    texts that a fixed-size filter of the doubtful ids lets pass are shuffled. Rows whose id is null are compared
+    with each other only: one of each text stays. Blank texts are one component for each id."""
+    base, named = _grouped(docs, id_col, text_col)
+    of_row = base.where("doc_id is not null").groupBy("doc_id", "class").agg(F.count("*").alias("rows")).join(named.select("class", "root"), "class", "left")
+    best = of_row.where("class != 0").groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("best"))
+    of_row = of_row.join(best, "root", "left").withColumn("chosen", (F.col("class") == 0) | ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("class") == F.col("best.class"))))
+    doubtful = of_row.withColumn("of_id", F.count("*").over(Window.partitionBy("doc_id"))).where("not chosen or rows > 1 or of_id > 1")
+    doubtful = stored(doubtful.select("doc_id", "class", "chosen"), "doubtful")
+    # ids of which no row is chosen go at once; the rows of other doubtful ids are told apart by their class
+    gone = doubtful.groupBy("doc_id").agg(F.max("chosen").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
+    others = doubtful.where("not chosen").select(F.col("doc_id").alias("_other"), F.col("class").alias("_other_class"))
+    shipped = id_filter(doubtful)
+    bit = docs.withColumn("_bit", F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))).otherwise(F.lit(-1)))
+    at, text_at = len(docs.columns), docs.columns.index(text_col)
 
     def side(inside: bool):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(_passes(shipped.value, batch.column(at)) == inside))
+                bits = np.asarray(batch.column(at))
+                yield batch.filter(pa.array(((bits < 0) | _passes(shipped.value, bits.clip(0))) == inside))
 
         return bit.mapInArrow(run, bit.schema).drop("_bit")
 
-    doubtful = side(True)
-    kept = doubtful.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(id_col) == F.col("_dropped"), "left_anti")
-    return side(False).unionByName(kept)
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([class_of(shingles(x.as_py())) for x in batch.column(text_at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, "_class"])
+
+    rest = side(True).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rest = rest.mapInArrow(classed, docs.select("*", F.lit(0).cast("bigint").alias("_class")).schema)
+    rest = rest.join(others, (F.col(id_col) == F.col("_other")) & (F.col("_class") == F.col("_other_class")), "left_anti")
+    apart = F.col(id_col).isNull() & (F.col("_class") == 0)  # blank texts without an id are copies of nothing
+    order = [F.col(c.name) for c in docs.schema if c.dataType.typeName() not in ("map", "variant")]
+    one = rest.where(~apart).withColumn("_place", F.row_number().over(Window.partitionBy(id_col, "_class").orderBy(*order))).where("_place = 1")
+    return side(False).unionByName(one.drop("_class", "_place")).unionByName(rest.where(apart).drop("_class"))

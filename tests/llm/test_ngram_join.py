@@ -82,3 +82,14 @@ def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text, "k"), (2, text + " tail", "k"), (3, "other words here", "k"), (None, text, "n")], "doc_id bigint, text string, source string")
     assert sorted((r.doc_id or 0) for r in J.without_copies(docs).collect()) == [0, 1, 3]
+
+
+def test_one_row_of_repeated_and_nameless_copies_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "b"), (1, text, "a"), (2, text + " tail", "k"), (5, "a text of its own", "k"), (5, text, "k"), (6, "one", "k"), (6, "two", "k")]
+    rows += [(7, "", "k"), (7, None, "k"), (None, "no name", "n"), (None, "No  name", "m"), (None, "other", "n"), (None, "", "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [tuple(r) for r in J.without_copies(docs).collect()]
+    want = [(1, text, "a"), (5, "a text of its own", "k"), (6, "one", "k"), (6, "two", "k"), (7, None, "k"), (None, "No  name", "m"), (None, "other", "n"), (None, "", "n"), (None, None, "n")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert J.without_copies(docs.where("false")).count() == 0
