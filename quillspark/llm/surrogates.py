@@ -31,7 +31,7 @@ from quillspark.llm.common import stored
 KEY = "surrogate-key-1"
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d]|\.\d)"
-SECRET = r"""(?<=(?:token|secret|password|passwd|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,256}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])"""
+SECRET = r"""(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}|\b(?:(?i:AKIA)[0-9A-Za-z]{16}|(?i:gh[pousr]_)[A-Za-z0-9]{36}|(?i:sk-)[A-Za-z0-9]{20,})\b|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"""
 PHONE = r"(?<![\d\p{L}])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d\p{L}+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\p{L}-])\d{3}-\d{3}-\d{4}(?![\d-])"
 NUMBER = r"(?<![\d\p{L}-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d\p{L}.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d\p{L}.])\d{9,19}(?![\d\p{L}])"
 #: Titles by gender; names after a title of no gender take that of the given name.
@@ -40,7 +40,7 @@ NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}
 HASHED = f"{EMAIL}|{SECRET}|{NAME}"
 PATTERN = f"{EMAIL}|{SECRET}|{IPV4}|{PHONE}|{NUMBER}|{NAME}"
 #: Texts without any of these hold no entity.
-HINT = rf"[@0-9]|[=:]\s{{0,3}}[\"']|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+HINT = rf"[@0-9]|[=:]\s{{0,3}}[\"']|(?i:AKIA|gh[pousr]_|sk-)|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 GIVEN_MALE = "James Robert John Michael David William Richard Thomas Daniel Matthew Anthony Mark Paul Steven Andrew Peter George Henry Louis Martin Felix Oscar Hugo Simon".split()
 GIVEN_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Anna Laura Julia Emma Clara Alice Helen Irene Sofia Marta Nina Eva".split()
 SYLLABLES = "ba be bo ca da de do fa fe ga go ha jo ka ke la le li lo ma me mi mo na ne no pa ra re ro sa se so ta te to va ve vi wa".split()
@@ -171,6 +171,16 @@ def _is_name(m: Column) -> Column:
     return m.rlike(rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}")
 
 
+def _secret_canon(m: Column) -> Column:
+    """Hexadecimal in upper case is the same secret."""
+    return F.concat(F.lit("secret:"), F.when(m.rlike("^[0-9A-Fa-f]+$"), F.lower(m)).otherwise(m))
+
+
+def _cased(surrogate: Column, m: Column) -> Column:
+    """The surrogate of upper-case hexadecimal in upper case."""
+    return F.when(m.rlike("^[0-9A-F]*[A-F][0-9A-F]*$"), F.upper(surrogate)).otherwise(surrogate)
+
+
 def _canons(m: Column) -> Column:
     """Canonical values of a mention: one, or given name and surname."""
     words = F.split(F.lower(F.regexp_replace(m, r"^\S+ ", "")), " ")
@@ -182,7 +192,7 @@ def _canons(m: Column) -> Column:
     name = F.when(F.size(words) > 1, F.array(F.concat(F.lit("given:"), gender, F.lit(":"), words[0]), F.concat(F.lit("surname:"), F.element_at(words, -1)))).otherwise(
         F.array(F.concat(F.lit("surname:"), words[0]))
     )
-    return F.when(_is_name(m), name).when(m.contains("@"), F.array(F.concat(F.lit("email:"), F.lower(m)))).otherwise(F.array(F.concat(F.lit("secret:"), m)))
+    return F.when(_is_name(m), name).when(m.contains("@"), F.array(F.concat(F.lit("email:"), F.lower(m)))).otherwise(F.array(_secret_canon(m)))
 
 
 def _replaced(m: Column, retried: Column) -> Column:
@@ -194,13 +204,13 @@ def _replaced(m: Column, retried: Column) -> Column:
         .when(_is_name(m), F.concat(title, F.array_join(F.transform(_canons(m), kept), " ")))
         .when(m.rlike(rf"^{IPV4}$"), _ipv4(m))
         .when(m.rlike(rf"^(?:{PHONE}|{NUMBER})$"), _number(m))
-        .otherwise(kept(F.concat(F.lit("secret:"), m)))
+        .otherwise(_cased(kept(_secret_canon(m)), m))
     )
 
 
 def collisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """(id, map of canonical value to surrogate) of the texts with values that had to be tried again; None if there are none."""
-    hinted = docs.where(F.col(text_col).rlike(r"@|[=:]\s{0,3}[\"']|[0-9a-f]{32}|AKIA|gh[pousr]_|sk-|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"))
+    hinted = docs.where(F.col(text_col).rlike(r"@|[=:]\s{0,3}[\"']|[0-9A-Fa-f]{32}|(?i:AKIA|gh[pousr]_|sk-)|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"))
     mentions = hinted.select(F.col(id_col).alias("_pii_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(HASHED), F.lit(0))).alias("m"))
     mentions = stored(mentions.select("_pii_id", F.explode(_canons(F.col("m"))).alias("canon")).distinct(), "mentions")
     values = mentions.select("canon").distinct()

@@ -96,6 +96,18 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(docs.where("false")).count() == 0
 
 
+def test_secrets_of_any_case_and_length(spark):
+    low, jwt, run, key = "9233a8ecf7c5d1b04e6f", "eyJ" + "aB3-x_" * 50, "0f" * 80, "sk-" + "Ab1" * 30
+    rows = [(1, f'token = "{low}"'), (2, f'TOKEN = "{low.upper()}"'), (3, f"password: '{jwt}' end"), (4, f"x {run} y"), (5, f"X {run[:40].upper()} Y {run[:40]}"), (6, f"use {key}, please")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs, counts=True).collect()}
+    assert [got[i].n_entities for i in range(1, 7)] == [1, 1, 1, 1, 2, 1] and all(len(got[i].text) == len(t) for i, t in rows)
+    assert got[2].text == got[1].text.upper() and low not in got[1].text and re.fullmatch(r'TOKEN = "[0-9A-F]{20}"', got[2].text)
+    assert got[3].text.endswith("' end") and jwt[-40:] not in got[3].text and run[:8] not in got[4].text and key[-20:] not in got[6].text
+    upper, lower = re.fullmatch(r"X ([0-9A-F]{40}) Y ([0-9a-f]{40})", got[5].text).groups()
+    assert upper.lower() == lower != run[:40]
+
+
 def test_number_cipher_is_a_bijection(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     moved = [r[0] for r in rows.select(surrogates._feistel_digits(F.col("d"), "t")).collect()]
