@@ -37,3 +37,12 @@ def test_documents(spark):
     assert got[1].kept and not got[1].base_failed and got[2].n_words == 0 and got[2].base_failed and not got[3].kept
     assert got[4].base_failed and not got[4].kept and got[5].base_failed and got[6].n_dup_lines == 1 and got[4].longest_repeat == 160
     assert S.judge(docs).count() == 7 and S.judge(docs.where("false")).count() == 0
+
+
+def test_repetition_rejects_what_the_base_rules_pass(spark):
+    w = [f"w{i}" for i in range(1000)]
+    pasted, often = w[:810] + w[100:290], w[:600] + w[:40] * 6
+    docs = spark.createDataFrame([(1, " ".join(pasted)), (2, " ".join(often)), (3, " ".join(w + w[:40]))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in S.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values()) and got[1].longest_repeat == 190
+    assert [got[i].kept for i in (1, 2, 3)] == [False, False, True]
