@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import fold
-from quillspark.llm.ngram_join import _LOWER, _SPACE, _mixed, _power_tables
+from quillspark.llm.hashing import mixed, word_hashes
 from quillspark.llm.token_shards import _file_system
 
 DISCOUNT = 0.75
@@ -50,19 +50,9 @@ SAMPLE = 32
 END = np.uint64(0x0123456789ABCDEF)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a text, then that of the end."""
-    raw = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    edge = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    out = np.empty(len(start) + 1, np.uint64)
-    out[-1] = END
-    if len(start):
-        up, down = _power_tables(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-            out[:-1] = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return out
+    return np.append(word_hashes(text), END)
 
 
 # --- Elias-Fano --------------------------------------------------------------------------------
@@ -368,7 +358,7 @@ def build(docs: DataFrame, path: str, training: Column, text_col: str = "text",
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(word_hashes(text.as_py()))
+                held.append(token_hashes(text.as_py()))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -419,7 +409,7 @@ def build(docs: DataFrame, path: str, training: Column, text_col: str = "text",
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(word_hashes(text.as_py()))
+                held.append(token_hashes(text.as_py()))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield flush()
@@ -492,7 +482,7 @@ def score(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             lo, held, size = 0, [], 0
             for i, text in enumerate(batch.column(1)):
-                held.append(word_hashes(text.as_py()))
+                held.append(token_hashes(text.as_py()))
                 size += len(held[-1])
                 if size >= FLUSH // 2:
                     yield scored(own, batch.slice(lo, i + 1 - lo), held)

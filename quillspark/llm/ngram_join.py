@@ -1,38 +1,41 @@
-"""N-gram Jaccard join (op 2): T-occurrence search over inverted lists, split as DivideSkip splits it.
+"""N-gram Jaccard join (op 2): T-occurrence search over inverted lists by DivideSkip.
 
 A text's set holds the 64-bit hashes of its distinct five-word shingles (with fewer words: of the
 whole sequence), so sizes and overlaps are those of the shingles but for hash collisions (chance
-below 1e-9 a pair). Two texts link when 100 * overlap >= 80 * union. A partner of a set of n shares at
-least T = ceil(0.8 n) of its n lists, so it stands in at least T - L of them whichever L are put
-aside as long. The lists are ordered by hash; a set's last L = min(T - 1, floor(0.7 n)) are put
-aside, and the others, its short lists, are merged:
+below 1e-9 a pair). Two texts link when 100 * overlap >= 80 * union, so a partner of a set of n holds
+T = ceil(0.8 n) of its n lists at least. All lists have one order, frequent shingles last; a set's last
+L = min(T - 1, floor(0.7 n)) lists are its long ones, and the others its short ones. Two sets that link
+share T - L short lists at least, with T and L of the larger set, and T - L >= 0.1 n.
 
 1. Texts with equal sets are one class; postings carry classes, so copies cost one entry.
-2. Short postings are dealt by hash in packed arrays, and each part merges its lists. A class with fewer
-   than ceil(0.1 n) short lists that it shares has no partner and drops out.
-3. Lists of up to SMALL classes give all their pairs. Of a longer one only the pairs with its centre, the
-   member that shares most lists, are formed, so large groups of near copies give a pair a member.
-4. The long lists are probed: candidates' whole sorted hash arrays are searched by bisection.
-5. Links are contracted by label passing (large star, small star), each round written to the shared folder.
-6. In a list with centre c, a member y that doesn't link to c can still link to one that does, x. As Jaccard
-   distance is a metric, that needs |d(c,x) - d(c,y)| <= 0.2; such pairs in different components are probed.
-   Pairs of members that both don't link to c remain: their lists, without the others, are searched again
-   from step 3 with a new centre. They are not counted or cut again, as the first cut leaves a pair only one
-   common list. After ROUNDS rounds all open pairs are probed. So no link between different texts is lost.
-
-A pair is not probed if its sizes, or its reaches, rule a link out: no other set holds more of a set's hashes than
-its reach, the short lists it shares and the L that were put aside, and a link needs 4/9 of both sizes. Nor is
-it after the first round if its members are in one component already.
-
-Cases: null and blank texts have empty sets and are alone (component_id is their own id). Equal
-texts, and repeated rows, share a class. Empty tables give an empty result. Only the id and text
-columns are read. Texts are never cut; nothing is capped or sampled.
+2. Short postings are dealt by hash in packed arrays, and each part finds the lists that two classes share. A class
+   with fewer than ceil(0.1 n) of them has no partner and drops out.
+3. Lists of up to SMALL classes are heap-merged for each class, which counts the occurrences of every candidate.
+   A crowded list (more classes than SMALL) is put aside like the long ones: a candidate stays if its count and the
+   crowded lists that both sets have could reach T - L.
+4. The long lists of what stays are probed: the whole sorted sets are searched by bisection.
+5. Sets that link with no list of up to SMALL in common share ceil(0.1 n) crowded ones. Each crowded list has a
+   centre, and its members are probed against it, so a large group of near copies gives a pair a member.
+6. Links are contracted by label passing. Members of a list that are in the centre's component need nothing more. The
+   others are indexed in cells of bounded size, and every member of the lists of that centre is a query of DivideSkip
+   there: short lists heap-merged with skips, long ones probed by bisection. A pair whose members are joined
+   already isn't probed, and a cell returns only links that join, so no pairs are written for all of a group.
+
+So no link between different texts is lost, and components are exact.
+
+Cases: null and blank texts have empty sets and are alone (component_id is their own id). Equal texts, and repeated
+rows, share a class. A null id is never the least; where a component has no other, component_id is null. Ties between
+centres go to the least class. Empty tables give an empty result. Only the id and text columns are read. Texts are
+never cut; nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,57 +43,33 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shared_dir, stored
+from quillspark.llm.common import dropped, shared_dir, stored
+from quillspark.llm.hashing import mixed, word_hashes
 
 WIDTH = 5
-#: Lists of at most so many classes give all pairs.
+#: Lists of at most so many classes are merged; longer ones are crowded.
 SMALL = 6
 #: Bits of the filter of candidate ids: a fixed 4 MB, whatever the number of documents.
 FILTER_BITS = 1 << 25
-ROUNDS = 2
-#: One of so many sets is read to find frequent shingles: those of at least LEAST of them, and of 1 in 20,000.
+#: One of so many texts is read to find frequent shingles: those of at least LEAST of them, and of 1 in 20,000.
 SAMPLE, LEAST = 16, 4
-FLUSH = 1_000_000
-_P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd _P and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < size:
-        size = max(size, 1 << 16)
-        inverse = pow(_P, -1, 1 << 64)
-        _powers[:] = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64)))) for x in (_P, inverse)]
-    return _powers[0], _powers[1]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+FLUSH = 500_000
+#: Postings of a part, and hashes of the index and of the queries of a cell.
+PART, INDEX, ASKED = 2_000_000, 1 << 18, 1 << 16
+_Q = 0xD6E8FEB86659FD93
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
-    raw = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    solid = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)))
-        word = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        word = word_hashes(text)
+        if not len(word):
+            return word
         k = min(width, len(word))
         out = np.full(len(word) - k + 1, k, np.uint64)
         for t in range(k):
             out = out * np.uint64(_Q) + word[t : t + len(out)]
-        return np.unique(_mixed(out))
+        return np.unique(mixed(out))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -100,10 +79,71 @@ def class_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def short_lists(n: int) -> int:
-    """How many of the n lists of a set are merged."""
-    least = -(-4 * n // 5)
-    return n - min(least - 1, 7 * n // 10)
+def long_lists(n: int) -> int:
+    """L: how many of the n lists of a set are put aside."""
+    return min(-(-4 * n // 5) - 1, 7 * n // 10)
+
+
+class Lists:
+    """Inverted lists over the sets of a cell, searched by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        hashes = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(hashes, kind="stable")
+        self.keys, at = np.unique(hashes[order], return_index=True)
+        self.edge = np.append(at, len(order)).tolist()
+        self.owner: list[int] = owner[order].tolist()
+        self.sizes = [len(x) for x in sets]
+
+    def merged(self, lists: list[tuple[int, int]], need: int) -> Iterator[tuple[int, int]]:
+        """(owner, count) of the owners in need lists or more: a heap of the lists' fronts; owners that fewer than need
+        lists could hold are skipped by bisection."""
+        own = self.owner
+        heap = [(own[a], a, b) for a, b in lists]
+        heapq.heapify(heap)
+        while len(heap) >= need:
+            top, front = heap[0][0], []
+            while heap and heap[0][0] == top:
+                front.append(heapq.heappop(heap))
+            if len(front) >= need:
+                yield top, len(front)
+                target = top + 1
+            else:
+                while len(front) < need - 1:
+                    front.append(heapq.heappop(heap))
+                target = heap[0][0]
+            for _, a, b in front:
+                a = a + 1 if own[a] == top else a
+                if a < b and own[a] < target:
+                    a = bisect_left(own, target, a, b)
+                if a < b:
+                    heapq.heappush(heap, (own[a], a, b))
+
+    def search(self, query: np.ndarray, wanted=lambda owner: True) -> Iterator[int]:
+        """Owners that link with the query, but for those that wanted() refuses."""
+        n = len(query)
+        least = -(-4 * n // 5)
+        at = np.searchsorted(self.keys, query)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == query].tolist()
+        if len(at) < least:
+            return
+        lists = sorted(((self.edge[k], self.edge[k + 1]) for k in at), key=lambda x: x[1] - x[0])
+        aside = long_lists(n)
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        for owner, count in self.merged(short, least - aside):
+            m = self.sizes[owner]
+            enough = max(least, -(-4 * (n + m) // 9))
+            if not wanted(owner):
+                continue
+            for k, (a, b) in enumerate(long):
+                if count >= enough or count + len(long) - k < enough:
+                    break
+                a = bisect_left(self.owner, owner, a, b)
+                count += a < b and self.owner[a] == owner
+            if count >= enough:
+                yield owner
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -131,13 +171,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _postings(docs: DataFrame, text_col: str, parts: int, frequent: Broadcast | None) -> DataFrame:
     """Short postings, packed by part: hashes and classes as arrays, each class once a flush. Without the filter of
-    frequent shingles: all postings of a sample of the classes."""
+    frequent shingles: all postings."""
 
-    def chosen(found: np.ndarray, name: int) -> np.ndarray | None:
+    def chosen(found: np.ndarray) -> np.ndarray:
         if frequent is None:
-            return found if name % SAMPLE == 0 else None
+            return found
         later = _passes(frequent.value, (found % np.uint64(FILTER_BITS)).astype(np.int64))
-        n = short_lists(len(found))
+        n = len(found) - long_lists(len(found))
         rare = found[~later]
         return rare[:n].copy() if len(rare) >= n else np.concatenate((rare, found[later][: n - len(rare)]))
 
@@ -161,9 +201,9 @@ def _postings(docs: DataFrame, text_col: str, parts: int, frequent: Broadcast |
         for batch in batches:
             for text in batch.column(0):
                 found = shingles(text.as_py())
-                if len(found) and (name := class_of(found)) not in held and (taken := chosen(found, name)) is not None:
-                    held[name] = taken
-                    size += len(taken)
+                if len(found) and (name := class_of(found)) not in held:
+                    held[name] = chosen(found)
+                    size += len(held[name])
                     if size >= FLUSH:
                         yield flush()
                         size = 0
@@ -223,11 +263,11 @@ def id_filter(ids: DataFrame) -> Broadcast:
     return _filter_of(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")))
 
 
-def _frequent(docs: DataFrame, text_col: str, parts: int, classes: DataFrame) -> Broadcast:
-    """The filter of frequent shingles."""
-    sampled = classes.where(F.col("class") % SAMPLE == 0).count()
+def _frequent(docs: DataFrame, text_col: str, parts: int, sampled: int) -> Broadcast:
+    """The filter of frequent shingles, which only settles the order of the lists."""
     least = max(LEAST, sampled // 20_000)
-    sizes = _lists(_postings(docs, text_col, parts, None)).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    some = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(SAMPLE)) == 0)
+    sizes = _lists(_postings(some, text_col, parts, None)).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return _filter_of(sizes.select(F.pmod(F.col("list"), F.lit(FILTER_BITS)).alias("bit")))
 
 
@@ -237,20 +277,53 @@ def _passes(words: np.ndarray, bit: pa.Array | np.ndarray) -> np.ndarray:
 
 
 def _filtered_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, set) of the documents whose ids are wanted: a fixed-size filter of ids keeps the other texts out
-    of the shuffle, and a join on the id drops those that passed it by chance."""
+    """(class, set) of the wanted classes (class, doc_id): a fixed-size filter of ids keeps the other texts out of the
+    shuffle, and a join on the class drops what passed it by chance. Texts without an id always pass."""
     shipped = id_filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.filter(pa.array(_passes(shipped.value, batch.column(2))))
-            found = [shingles(x.as_py()) for x in rows.column(1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "class", "set"])
+            bits = np.asarray(batch.column(1))
+            found = [shingles(x.as_py()) for x in batch.column(0).filter(pa.array((bits < 0) | _passes(shipped.value, bits.clip(0))))]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["class", "set"])
+
+    bit = F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))).otherwise(F.lit(-1))
+    sets = docs.select(text_col, bit.alias("bit")).mapInArrow(run, "class bigint, set binary")
+    return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """a, b, na, nb, crowdeda, crowdedb, common of the pairs of classes a < b that share a list: for each class the lists it
+    is in are heap-merged. One block of whole lists is merged at a time, so a pair's counts are sums over blocks."""
+
+    def merged(lists: list[list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
+        tails: dict[tuple, list[list[tuple]]] = {}
+        for rows in lists:
+            for k in range(len(rows) - 1):
+                tails.setdefault(rows[k], []).append(rows[k + 1 :])
+        out = []
+        for (a, na, ca), others in tails.items():
+            for (b, nb, cb), run in groupby(heapq.merge(*others)):
+                out.append((a, b, na, nb, ca, cb, sum(1 for _ in run)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, ["a", "b", "na", "nb", "crowdeda", "crowdedb", "common"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(id_col, text_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS)).alias("bit")).where(F.col(id_col).isNotNull())
-    sets = made.mapInArrow(run, f"doc_id {kind}, class bigint, set binary")
-    return wanted.select("doc_id", "class").distinct().join(sets, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "set")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists, size = None, [], 0
+        for batch in batches:
+            for name, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if name != now:
+                    if size >= FLUSH // 4:
+                        yield from merged(lists)
+                        lists, size = [], 0
+                    now = name
+                    lists.append([])
+                lists[-1].append(tuple(row))
+                size += 1
+        yield from merged(lists)
+
+    dealt = members.select("list", "class", "n", "crowded").repartition("list").sortWithinPartitions("list", "class")
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, crowdeda bigint, crowdedb bigint, common bigint")
+    return pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("na", "nb", "crowdeda", "crowdedb")), F.sum("common").alias("common"))
 
 
 def _probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,8 +345,12 @@ def _probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 LINKED = "100 * common >= 80 * (na + nb - common)"
-#: What a pair that links fulfils.
-POSSIBLE = "least(na, nb) * 100 >= 80 * greatest(na, nb) and 9 * least(reacha, reachb) >= 4 * (na + nb)"
+#: T and L of the larger set of a pair.
+_MOST = "greatest(na, nb)"
+_T = f"greatest((4 * {_MOST} + 4) div 5, (4 * (na + nb) + 8) div 9)"
+_L = f"least((4 * {_MOST} + 4) div 5 - 1, 7 * {_MOST} div 10)"
+#: What a pair that links and shares a merged list fulfils.
+POSSIBLE = f"least(na, nb) * 100 >= 80 * {_MOST} and common + least(crowdeda, crowdedb) >= {_T} - {_L}"
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -290,12 +367,18 @@ def _forest(edges: DataFrame) -> DataFrame:
                 up[x], x = top, up[x]
             return top
 
+        def flush() -> pa.RecordBatch:
+            pairs = [(x, root(x)) for x in list(up) if root(x) != x]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = root(x), root(y)
                 up[max(x, y)] = min(x, y)
-        pairs = [(x, root(x)) for x in list(up) if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+            if len(up) >= FLUSH:
+                yield flush()
+        yield flush()
 
     return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
 
@@ -316,81 +399,98 @@ def components(edges: DataFrame) -> DataFrame:
         # at rest all edges lead to a root that has none: no class is both a leaf and a root, and no leaf has two roots
         leaf = after.select("u").intersect(after.select(F.col("v").alias("u")))
         if leaf.isEmpty() and after.groupBy("u").count().where("count > 1").isEmpty():
-            return after.select(F.col("u").alias("class"), F.col("v").alias("root"))
+            dropped(now)
+            out = after.select(F.col("u").alias("class"), F.col("v").alias("root"))
+            out.stored_at = after.stored_at
+            return out
+        dropped(now)
         now = after
 
 
-def _with(known: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if known is None else known.unionByName(more)
-
-
 def _links(probed: DataFrame) -> DataFrame:
     return probed.where(LINKED).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _found_in(cell: pa.Table) -> pa.Table:
+    """Links that join components, found in a cell: its index is searched for every other row."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    rows = list(zip(*(cell.column(c).to_pylist() for c in ("indexed", "class", "root", "set")), strict=True))
+    rows = [(i, c, r, np.frombuffer(x, np.uint64)) for i, c, r, x in rows]
+    index, out = [x for x in rows if x[0]], []
+    lists = Lists([x[3] for x in index]) if index else None
+    for _, name, own, query in (x for x in rows if lists and not x[0]):
+        for k in lists.search(query, lambda k, own=own: root(index[k][2]) != root(own)):
+            up[root(index[k][2])] = root(own)
+            out.append((name, index[k][1]))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def _families(crowd: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (u, v) among members of crowded lists that aren't in their centre's component; None if all are."""
+    family = crowd.select("centre", "class", "n").distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    of_centre = roots.select(F.col("class").alias("centre"), F.col("root").alias("top"))
+    family = stored(family.join(of_centre, "centre", "left").withColumn("outer", F.col("root") != F.coalesce("top", "centre")), "family")
+    cells = family.groupBy("centre").agg(F.sum(F.when(F.col("outer"), F.col("n"))).alias("size"), F.sum("n").alias("all")).where("size is not null")
+    cells = cells.selectExpr("centre", f"(size + {INDEX - 1}) div {INDEX} as across", f"(all + {ASKED - 1}) div {ASKED} as down")
+    if cells.isEmpty():
+        dropped(family)
+        return None
+    rows = family.join(cells, "centre").join(sets, "class")
+    indexed = rows.where("outer").selectExpr("centre", "true as indexed", "class", "root", "set", "pmod(xxhash64(class), across) as i", "explode(sequence(0L, down - 1)) as j")
+    asked = rows.selectExpr("centre", "false as indexed", "class", "root", "set", "explode(sequence(0L, across - 1)) as i", "pmod(xxhash64(class), down) as j")
+    links = stored(indexed.unionByName(asked).groupBy("centre", "i", "j").applyInArrow(_found_in, "u bigint, v bigint"), "links")
+    dropped(family)
+    return links
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class) of every document, and (class, doc_id, n, root) of every class that isn't empty."""
     spark = docs.sparkSession
     shared_dir(spark)
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = stored(_sets(docs, id_col, text_col), "sets")
     classes = base.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-
-    lists = stored(_lists(_postings(docs, text_col, parts, _frequent(docs, text_col, parts, classes))), "lists")
-    sharing = lists.groupBy("class").agg(F.count("*").alias("shares")).join(classes, "class")
-    live = stored(sharing.where(F.col("shares") >= F.ceil(F.col("n") / 10)), "live")
+    total = classes.agg(F.count("*"), F.sum("n")).first()
+    at_least = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(at_least, -(-(total[1] or 0) // PART))
+
+    frequent = _frequent(docs, text_col, parts, total[0] // SAMPLE)
+    lists = stored(_lists(_postings(docs, text_col, parts, frequent)), "lists")
+    frequent.unpersist()
+    live = lists.groupBy("class").agg(F.count("*").alias("shares")).join(classes, "class").where(F.col("shares") >= F.ceil(F.col("n") / 10))
+    live = stored(live.select("class", "doc_id", "n"), "live")
     members = stored(lists.join(live.select("class", "n"), "class").select("list", "class", "n"), "members")
     sizes = members.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(sizes, "list"), "members")
-    enough = members.groupBy("class").agg(F.count("*").alias("shares"), F.first("n").alias("n")).where(F.col("shares") >= F.ceil(F.col("n") / 10))
-    # no other set holds more of a set's hashes than the short lists it shares and those put aside
-    enough = enough.select("class", "shares", F.expr("shares + least((4 * n + 4) div 5 - 1, 7 * n div 10)").alias("reach"))
-    # a pair shares ceil(0.1 n) of these, so one of them is left when so many less one, the longest, are put aside
+    sized = members.join(sizes, "list")
+    of_class = sized.groupBy("class").agg(F.count("*").alias("shares"), F.count_if(F.col("size") > SMALL).alias("crowded"))
+    sized = stored(sized.join(of_class, "class").where(F.col("shares") >= F.ceil(F.col("n") / 10)), "sized")
+
+    close = stored(_counted(sized.where(F.col("size") <= SMALL)).where(POSSIBLE).select("a", "b"), "close")
+    # a pair without a merged list shares ceil(0.1 n) crowded ones, so one of them is left when so many less one, the longest, are put aside
     place = F.row_number().over(Window.partitionBy("class").orderBy("size", "list"))
-    member = members.join(enough, "class").withColumn("place", place).where(F.col("place") <= F.col("shares") - F.ceil(F.col("n") / 10) + 1)
-    members = stored(member.select("list", "class", "n", "shares", "reach"), "members")
-    paired = members.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = live.select("class", "doc_id").join(members.join(paired, "list").select("class").distinct(), "class")
+    crowd = sized.where((F.col("size") > SMALL) & (F.col("crowded") >= F.ceil(F.col("n") / 10))).withColumn("place", place)
+    crowd = stored(crowd.where(F.col("place") <= F.col("crowded") - F.ceil(F.col("n") / 10) + 1).select("list", "class", "n", "shares"), "crowd")
+    heads = crowd.groupBy("list").agg(F.count("*").alias("m"), F.max(F.struct(F.col("shares"), -F.col("class"))).alias("top"))
+    heads = heads.where("m > 1").select("list", (-F.col("top.col2")).alias("centre"))
+    around = stored(crowd.join(heads, "list").select("centre", "class", "n").distinct(), "around")
+    star = around.where("centre != class").select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b"))
+    pairs = stored(close.unionByName(star).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(live.select("class", "doc_id"), "class")
     sets = stored(_filtered_sets(docs, wanted, id_col, text_col), "sets")
-    known, found = None, None
-    for turn in range(ROUNDS + 1):
-        # a pair is sure of one list only, so the lists whose pairs are still open are not counted or cut again
-        heads = members.groupBy("list").agg(F.count("*").alias("m"), F.max(F.struct(F.col("shares"), -F.col("class"))).alias("top"))
-        heads = heads.where("m > 1").select("list", "m", (-F.col("top.col2")).alias("centre"))
-        most = SMALL if turn < ROUNDS else 1 << 62
-        rows = stored(members.join(heads, "list"), "rows")
-        few = rows.where(F.col("m") <= most)
-        if found is None:
-            few = few.withColumn("root", F.col("class"))
-        else:
-            few = few.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        left, right = (few.select("list", F.col("class").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "reach", "root"))) for x in "ab")
-        close = left.join(right, "list").where(f"a < b and roota != rootb and {POSSIBLE}").select("a", "b")
-        long = rows.where((F.col("m") > most) & (F.col("class") != F.col("centre")))
-        star = long.select(F.least("centre", "class").alias("a"), F.greatest("centre", "class").alias("b"))
-        pairs = close.unionByName(star).distinct()
-        new = stored(pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        known = _with(known, stored(_probed(new, sets), "probed"))
-        found = stored(components(_links(known)), "roots")
-        if long.isEmpty():
-            break
-        # distances to the centre: once for each ring, whatever the number of lists
-        jaccard = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-        ring = long.select("centre", "class", "n", "reach").distinct().withColumn("a", F.least("centre", "class")).withColumn("b", F.greatest("centre", "class"))
-        ring = ring.join(known.select("a", "b", (1 - jaccard).alias("d"), F.expr(LINKED).alias("linked")), ["a", "b"]).drop("a", "b")
-        ring = stored(ring.join(found, "class", "left").select("centre", "class", "n", "reach", "d", "linked", F.coalesce("root", "class").alias("root")), "ring")
-        # d is a quotient of integers below 2**31, exact to 1e-15; 1e-9 is on the safe side
-        outer = ring.where("not linked and d <= 0.4 + 1e-9").select("centre", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"), F.col("n").alias("na"), F.col("reach").alias("reacha"))
-        inner = ring.where("linked").withColumnRenamed("n", "nb").withColumnRenamed("reach", "reachb")
-        near = outer.join(inner, "centre").where(f"rx != root and dx - d <= 0.2 + 1e-9 and {POSSIBLE}")
-        near = near.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-        near = stored(near.join(known.select("a", "b"), ["a", "b"], "left_anti"), "near")
-        if not near.isEmpty():
-            known = _with(known, stored(_probed(near, sets), "probed"))
-            found = stored(components(_links(known)), "roots")
-        open_ = ring.where("not linked").select("centre", "class")
-        members = stored(long.join(open_, ["centre", "class"]).select("list", "class", "n", "shares", "reach"), "members")
-    return base, classes.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    near = stored(_links(_probed(pairs, sets)), "near")
+    roots = components(near)
+    more = _families(around, roots, sets)
+    if more is not None:
+        old, roots = roots, components(near.unionByName(more))
+        dropped(old, more)
+    dropped(lists, live, members, sized, close, crowd, around, pairs, sets, near)
+    return base, classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:

@@ -71,6 +71,77 @@ def test_links_away_from_the_centre(spark):
     assert sorted(tuple(r) for r in J.join_documents(docs).collect()) == brute(rows)
 
 
+def edited(seed, groups=20):
+    """Groups of a passage with 2 to 11 edited words a copy, so that many copies link in pairs only."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 90, 150)))]
+        for _ in range(rng.randrange(15, 50)):
+            words = list(base)
+            for k in rng.sample(range(len(base)), rng.randrange(2, 12)):
+                words[k] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_copies_that_link_in_pairs_only(spark, monkeypatch):
+    rows = edited(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert sorted(tuple(r) for r in J.join_documents(docs).collect()) == want
+    monkeypatch.setattr(J, "INDEX", 900)  # many cells to a family
+    monkeypatch.setattr(J, "ASKED", 700)
+    monkeypatch.setattr(J, "SMALL", 2)
+    assert sorted(tuple(r) for r in J.join_documents(docs).collect()) == want
+
+
+def test_one_large_group(spark):
+    """Trees of edits: a few copies of copies drift away from the first text."""
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(140)]]
+    while len(texts) < 300:
+        words = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+        texts.append(words)
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    assert sorted(tuple(r) for r in J.join_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
+
+
+def test_a_passage_that_many_share(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = [(k, " ".join(f"t{k}x{j}" for j in range(rng.choice((0, 3, 20, 28, 35, 60, 200)))) + " " + passage) for k in range(250)]
+    assert sorted(tuple(r) for r in J.join_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_of_lists(seed):
+    rows = edited(seed, 3) + around_a_passage(seed, 1000)
+    sets = [J.shingles(t) for _, t in rows]
+    lists = J.Lists(sets)
+    for query in sets:
+        want = [k for k, x in enumerate(sets) if 100 * J.overlap(query, x) >= 80 * (len(query) + len(x) - J.overlap(query, x))]
+        assert sorted(lists.search(query)) == want
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    from quillspark.llm import hashing
+
+    text = " ".join(random.Random(1).choice(("a", "Bc", "a longer one", "ß" * 9)) for _ in range(400)) + " " + "x" * 700
+    whole = hashing.word_hashes(text)
+    monkeypatch.setattr(hashing, "BLOCK", 800)
+    monkeypatch.setattr(hashing, "_powers", [])
+    assert (hashing.word_hashes(text) == whole).all()
+
+
+def test_null_ids_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text + " tail"), (4, text), (None, "only here a b c"), (None, "  "), (9, text + " end")]
+    got = J.join_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 4), (4, 4), (9, 4)]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "x " * 30_000)], "doc_id bigint, text string").selectExpr("*", "1 as class", "2 as n")
     got = J.join_documents(docs).collect()
