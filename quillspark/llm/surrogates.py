@@ -1,13 +1,15 @@
 """Personal data (op 10): surrogate generation, with DataFrame functions only.
 
-Entities are found by patterns: e-mail addresses, telephone and other long numbers, payment cards,
-IPv4 addresses, quoted or prefixed secrets, and names after a title. Every mention is replaced by
-a keyed surrogate of the same type:
+Entities are found by patterns: e-mail addresses, telephone and other long numbers, payment cards, bank account
+numbers, IP addresses, quoted or prefixed secrets, and names after a title; a name's parts are then found wherever
+else they stand in the same text, with or without a title. Names that no title ever introduces are not found. Every
+mention is replaced by a keyed surrogate of the same type:
 
 - Numbers keep their format; their digits go through a keyed Feistel cipher over decimal strings, so
-  distinct numbers stay distinct by construction. Country codes stay. Cards keep their first digit and
-  whether their check digit holds. IPv4 addresses go through a Feistel cipher over 32 bits.
-- Secrets keep their length and character classes. E-mail addresses keep the shape of the local part; their domain becomes a keyed one below a reserved domain.
+  distinct numbers stay distinct by construction. Country codes stay, and a number has one surrogate in whatever format it
+  is written. Cards keep their first digit and whether their check digit holds, international bank account numbers their
+  country, with new check digits. IPv4 addresses go through a Feistel cipher over 32 bits.
+- Secrets and IPv6 addresses keep their length and character classes. E-mail addresses keep the shape of the local part; their domain becomes a keyed one below a reserved domain.
 - Names keep their title; given names get one of the same gender and script, surnames one of the same script.
 
 The last two kinds are hashes and can collide, so their distinct values are gathered, the surrogates
@@ -32,15 +34,20 @@ KEY = "surrogate-key-1"
 EMAIL = r"[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?![\d]|\.\d)"
 SECRET = r"""(?<=(?i:token|secret|password|passwd|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}["'])[^"'\s]{8,}|\b(?:(?i:AKIA)[0-9A-Za-z]{16}|(?i:gh[pousr]_)[A-Za-z0-9]{36}|(?i:sk-)[A-Za-z0-9]{20,})\b|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"""
+IPV6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?(?=[A-Z0-9]*\d)[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+#: Country calling codes of one and two digits; all others have three.
+CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PHONE = r"(?<![\d\p{L}])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d\p{L}+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\p{L}-])\d{3}-\d{3}-\d{4}(?![\d-])"
-NUMBER = r"(?<![\d\p{L}-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d\p{L}.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d\p{L}.])\d{9,19}(?![\d\p{L}])"
+NUMBER = r"(?<![\d\p{L}-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d\p{L}.])\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<![\d\p{L}.])\d{4}(?:[ -]\d{4}){3}(?!\d)|(?<![\d\p{L}.])\d{9,19}(?![\d\p{L}])"
 #: Titles by gender; names after a title of no gender take that of the given name.
-MALE, FEMALE, NEUTRAL = r"Mr|Herr|Monsieur|Señor|Sr|Sir", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Lady", r"Dr|Prof"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,30}}(?: \p{{Lu}}\p{{Ll}}[\p{{L}}'’-]{{0,30}})?(?![\p{{L}}\p{{N}}])"
-HASHED = f"{EMAIL}|{SECRET}|{NAME}"
-PATTERN = f"{EMAIL}|{SECRET}|{IPV4}|{PHONE}|{NUMBER}|{NAME}"
+MALE, FEMALE, NEUTRAL = r"Mr|Herr|Monsieur|Señor|Sr|Sir|г-н|[Гг]осподин", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Lady|г-жа|[Гг]оспожа", r"Dr|Prof"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}\p{L}{0,30}(?:[-'’]\p{Lu}\p{L}{1,30}){0,3}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_WORD}(?: {_WORD})?(?![\p{{L}}\p{{N}}])"
+HASHED = f"{EMAIL}|{SECRET}|{IPV6}|{NAME}"
+PATTERN = f"{EMAIL}|{SECRET}|{IPV6}|{IPV4}|{IBAN}|{PHONE}|{NUMBER}|{NAME}"
 #: Texts without any of these hold no entity.
-HINT = rf"[@0-9]|[=:]\s{{0,3}}[\"']|(?i:AKIA|gh[pousr]_|sk-)|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+HINT = rf"[@0-9]|::|[=:]\s{{0,3}}[\"']|(?i:AKIA|gh[pousr]_|sk-)|(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
 GIVEN_MALE = "James Robert John Michael David William Richard Thomas Daniel Matthew Anthony Mark Paul Steven Andrew Peter George Henry Louis Martin Felix Oscar Hugo Simon".split()
 GIVEN_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Anna Laura Julia Emma Clara Alice Helen Irene Sofia Marta Nina Eva".split()
 SYLLABLES = "ba be bo ca da de do fa fe ga go ha jo ka ke la le li lo ma me mi mo na ne no pa ra re ro sa se so ta te to va ve vi wa".split()
@@ -83,27 +90,43 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 
 def _luhn(first: Column) -> Column:
-    """The check digit that 15 digits ask for."""
+    """The check digit that the digits before it ask for."""
     doubled = lambda d: F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
     total = F.aggregate(
-        F.transform(F.split(first, ""), lambda c, i: F.when(i % 2 == 0, doubled(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda a, x: a + x
+        F.transform(F.split(first, ""), lambda c, i: F.when((F.length(first) - i) % 2 == 1, doubled(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda a, x: a + x
     )
     return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
 
 
 def _card(digits: Column) -> Column:
-    """16 digits: the first stays, the next 14 are moved, the last keeps its distance to the right check digit."""
-    moved = F.concat(F.substring(digits, 1, 1), _feistel_digits(F.substring(digits, 2, 14), "card"))
-    off = F.pmod(F.substring(digits, 16, 1).cast("int") - _luhn(F.substring(digits, 1, 15)), F.lit(10))
+    """15 or 16 digits: the first stays, the next are moved, the last keeps its distance to the right check digit."""
+    n = F.length(digits)
+    moved = F.concat(F.substring(digits, 1, 1), _feistel_digits(F.substring(digits, F.lit(2), n - 2), "card"))
+    off = F.pmod(F.substring(digits, n, F.lit(1)).cast("int") - _luhn(F.substring(digits, F.lit(1), n - 1)), F.lit(10))
     return F.concat(moved, F.pmod(_luhn(moved) + off, F.lit(10)).cast("string"))
 
 
 def _number(m: Column) -> Column:
     """Telephone and other numbers."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(m, CALLING, 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     digits = _digits(rest)
-    return F.concat(code, _refill(rest, F.when(F.length(digits) == 16, _card(digits)).otherwise(_feistel_digits(digits, "number"))))
+    card = (code == "") & (F.length(digits).isin(16) | m.rlike(r"^\d{4}[ -]\d{6}[ -]\d{5}$"))
+    return F.concat(code, _refill(rest, F.when(card, _card(digits)).otherwise(_feistel_digits(digits, "number"))))
+
+
+def _iban(m: Column) -> Column:
+    """The country stays; digits are moved, letters shifted by place, and the check digits follow."""
+    body = F.substring(m, F.lit(5), F.length(m))
+    shifted = F.array_join(
+        F.transform(F.split(body, ""), lambda c, i: F.when(c.between("A", "Z"), F.chr(F.lit(65) + F.pmod(F.ascii(c) - 65 + F.pmod(_seed("iban", i), F.lit(26)), F.lit(26)))).otherwise(c)), ""
+    )
+    made = _refill(shifted, _feistel_digits(_digits(body), "iban"))
+    figures = F.split(F.concat(F.regexp_replace(made, " ", ""), F.substring(m, 1, 2), F.lit("00")), "")
+    rest = F.aggregate(
+        figures, F.lit(0), lambda acc, c: F.when(c.between("0", "9"), F.pmod(acc * 10 + F.ascii(c) - 48, F.lit(97))).when(c.between("A", "Z"), F.pmod(acc * 100 + F.ascii(c) - 55, F.lit(97))).otherwise(acc)
+    )
+    return F.concat(F.substring(m, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), made)
 
 
 def _ipv4(m: Column) -> Column:
@@ -139,7 +162,7 @@ def _email(canon: Column, salt: Column) -> Column:
 
 
 def _secret(canon: Column, salt: Column) -> Column:
-    return _classes(canon, _seed("secret", canon, salt), canon.rlike("^[0-9a-f]+$"))
+    return _classes(canon, _seed("secret", canon, salt), canon.rlike("^[0-9a-f:]+$"))
 
 
 def _syllabic(table: list[str], seed: Column, n: int) -> Column:
@@ -173,18 +196,18 @@ def _is_name(m: Column) -> Column:
 
 def _secret_canon(m: Column) -> Column:
     """Hexadecimal in upper case is the same secret."""
-    return F.concat(F.lit("secret:"), F.when(m.rlike("^[0-9A-Fa-f]+$"), F.lower(m)).otherwise(m))
+    return F.concat(F.lit("secret:"), F.when(m.rlike("^[0-9A-Fa-f:]+$"), F.lower(m)).otherwise(m))
 
 
 def _cased(surrogate: Column, m: Column) -> Column:
     """The surrogate of upper-case hexadecimal in upper case."""
-    return F.when(m.rlike("^[0-9A-F]*[A-F][0-9A-F]*$"), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(m.rlike("^[0-9A-F:]*[A-F][0-9A-F:]*$"), F.upper(surrogate)).otherwise(surrogate)
 
 
 def _canons(m: Column) -> Column:
     """Canonical values of a mention: one, or given name and surname."""
     words = F.split(F.lower(F.regexp_replace(m, r"^\S+ ", "")), " ")
-    title = F.regexp_extract(m, r"^[\p{L}]+", 0)
+    title = F.regexp_extract(m, r"^[\p{L}-]+", 0)
     known = lambda names: words[0].isin([x.lower() for x in names])
     gender = (
         F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").when(known(GIVEN_MALE), "m").when(known(GIVEN_FEMALE), "f").otherwise("n")
@@ -195,14 +218,28 @@ def _canons(m: Column) -> Column:
     return F.when(_is_name(m), name).when(m.contains("@"), F.array(F.concat(F.lit("email:"), F.lower(m)))).otherwise(F.array(_secret_canon(m)))
 
 
-def _replaced(m: Column, retried: Column) -> Column:
-    """Surrogate of a mention; retried: map from canonical value to a later surrogate, or null."""
+def _parts(found: Column) -> Column:
+    """Map from the words of a text's titled names, as written and in capitals, to their canonical values."""
+    words = lambda m: F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
+    entry = lambda w, c: F.array(F.struct(w.alias("key"), c.alias("value")), F.struct(F.upper(w).alias("key"), c.alias("value")))
+    each = F.flatten(F.flatten(F.transform(F.filter(found, _is_name), lambda m: F.zip_with(words(m), _canons(m), entry))))
+    first = F.filter(each, lambda e, i: ~F.exists(F.slice(each, F.lit(1), i), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(first)
+
+
+def _replaced(m: Column, retried: Column, parts: Column) -> Column:
+    """Surrogate of a mention; retried: map from canonical value to a later surrogate, or null; parts: words of the
+    names in the text."""
     kept = lambda c: F.coalesce(F.try_element_at(retried, c), _hashed(c, F.lit(0)))
     title = F.regexp_extract(m, r"^\S+ ", 0)
+    part = F.try_element_at(parts, m)
+    named = kept(part)
     return (
-        F.when(m.contains("@"), kept(F.concat(F.lit("email:"), F.lower(m))))
+        F.when(part.isNotNull(), F.when(m == F.upper(m), F.upper(named)).otherwise(named))
+        .when(m.contains("@"), kept(F.concat(F.lit("email:"), F.lower(m))))
         .when(_is_name(m), F.concat(title, F.array_join(F.transform(_canons(m), kept), " ")))
         .when(m.rlike(rf"^{IPV4}$"), _ipv4(m))
+        .when(m.rlike(rf"^{IBAN}$"), _iban(m))
         .when(m.rlike(rf"^(?:{PHONE}|{NUMBER})$"), _number(m))
         .otherwise(_cased(kept(_secret_canon(m)), m))
     )
@@ -210,7 +247,7 @@ def _replaced(m: Column, retried: Column) -> Column:
 
 def collisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """(id, map of canonical value to surrogate) of the texts with values that had to be tried again; None if there are none."""
-    hinted = docs.where(F.col(text_col).rlike(r"@|[=:]\s{0,3}[\"']|[0-9A-Fa-f]{32}|(?i:AKIA|gh[pousr]_|sk-)|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"))
+    hinted = docs.where(F.col(text_col).rlike(r"@|::|(?:[0-9A-Fa-f]{1,4}:){7}|[=:]\s{0,3}[\"']|[0-9A-Fa-f]{32}|(?i:AKIA|gh[pousr]_|sk-)|(?:" + f"{MALE}|{FEMALE}|{NEUTRAL}" + r")\.? \p{Lu}"))
     mentions = hinted.select(F.col(id_col).alias("_pii_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(HASHED), F.lit(0))).alias("m"))
     mentions = stored(mentions.select("_pii_id", F.explode(_canons(F.col("m"))).alias("canon")).distinct(), "mentions")
     values = mentions.select("canon").distinct()
@@ -240,10 +277,16 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         rows = docs.join(retried, docs[id_col] == retried["_pii_id"], "left").drop("_pii_id")
     text = F.col(text_col)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("_pii_found", found)
-    between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_pii_found"), lambda s, m: F.array(s, F.when(m.isNull(), F.lit("")).otherwise(_replaced(m, F.col("_pii_retried")))))), "")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_pii_found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
+    # texts with names are searched again for the names' parts
+    rows = rows.withColumn("_pii_parts", F.when(F.exists("_pii_found", _is_name), _parts(F.col("_pii_found"))))
+    word = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(F.reverse(F.array_sort(F.map_keys("_pii_parts"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    has = F.col("_pii_parts").isNotNull()
+    rows = rows.withColumn("_pii_found", F.when(has, F.regexp_extract_all(text, word, F.lit(0))).otherwise(F.col("_pii_found")))
+    between = F.when(has, F.split(text, word, -1)).otherwise(F.split(text, PATTERN, -1))
+    one = lambda s, m: F.array(s, F.when(m.isNull(), F.lit("")).otherwise(_replaced(m, F.col("_pii_retried"), F.col("_pii_parts"))))
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_pii_found"), one)), "")
     made = F.when(F.size("_pii_found") > 0, joined).otherwise(text)
     more = [F.coalesce(F.size("_pii_found"), F.lit(0)).cast("bigint").alias("n_entities")] if counts else []
     return rows.select(*[made.alias(c) if c == text_col else F.col(c) for c in names], *more)
