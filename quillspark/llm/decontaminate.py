@@ -11,9 +11,11 @@ The items are read in blocks of at most BLOCK_CHARS characters; each block is br
 one pass over the documents, so the broadcast has a fixed bound however large the benchmark is.
 
 Cases: null and empty texts meet nothing; items that are null or have no letter or digit are met by
-nothing. Items shorter than 1 / RATE characters must occur exactly. Equal items all
-report. An item met more than once in a text is reported once, with its least distance and then its
-earliest end. Repeated rows are reported each. Empty tables give an empty result.
+nothing. Items shorter than 1 / RATE characters must occur exactly and as whole words, so that a short item isn't
+met inside longer words. Equal items all report. An item met more than once in a text is reported once, with its least
+distance (ties can't be told apart in the result). Repeated rows are reported each. Texts of any length are searched
+whole: windows around hits that touch are verified as one. Empty tables give an empty result. Only the named columns
+are read by matches; decontaminate keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -79,7 +82,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         import ahocorasick
 
-        self.items = [(i, p, int(len(p) * rate)) for i, t in items if (p := plain(t))]
+        # texts are searched with a space at either end; an item that must occur exactly brings its own
+        self.items = [(i, p if (budget := int(len(p) * rate)) else f" {p} ", budget) for i, t in items if (p := plain(t))]
         self.masks: dict[int, dict[str, int]] = {}
         self.grams: dict[int, set[str]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
@@ -102,8 +106,8 @@ class Matcher:
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
         """(item id, least distance) of every item that the text holds within its budget."""
-        p = plain(text)
-        if not p or not self.items:
+        p = f" {plain(text)} "
+        if p == "  " or not self.items:
             return []
         starts: dict[int, list[int]] = {}
         for end, (size, hits) in self.automaton.iter(p):
@@ -154,13 +158,13 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, distance, budget. No shuffle."""
+    """One row per document and item that it holds: doc_id, item_id, distance. No shuffle."""
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int"
     out = None
     texts = docs.select(doc_id, text_col)
-    id_type, item_type = (pa.int64() if k == "bigint" else pa.int32() if k == "int" else pa.string() for k in kinds)
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     for block in item_blocks(items, item_id, text_col):
         shipped = spark.sparkContext.broadcast(block)
 

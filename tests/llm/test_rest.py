@@ -51,7 +51,8 @@ def test_decontamination_against_brute_force():
         text = "".join(rng.choice("abc ") for _ in range(rng.randrange(40))) + " " + items[0][1] + "b"
         rate = rng.choice([0.1, 0.2, 0.3])
         plain = [(i, decontaminate.plain(x)) for i, x in items]
-        want = [(i, d) for i, p in plain if p and (d := edit_distance(p, decontaminate.plain(text))) <= int(len(p) * rate)]
+        whole = decontaminate.plain(text)
+        want = [(i, d) for i, p in plain if p and (d := edit_distance(p, whole) if int(len(p) * rate) else (0 if f" {p} " in f" {whole} " else 99)) <= int(len(p) * rate)]
         assert decontaminate.Matcher(items, rate).matches(text) == want
 
 
@@ -66,6 +67,12 @@ def test_decontamination_over_blocks(spark, monkeypatch):
     assert decontaminate.matches(docs, items.where("false")).count() == 0 and decontaminate.matches(docs.where("false"), items).count() == 0
 
 
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "He said that the class was paid"), (2, "on AI, and more"), (3, "word " * 300_000 + "ai")], "doc_id bigint, text string").selectExpr("*", "1.5 as item_id")
+    items = spark.createDataFrame([(2.5, "AI")], "item_id double, text string")
+    assert sorted(tuple(r) for r in decontaminate.matches(docs, items).collect()) == [(2, 2.5, 0), (3, 2.5, 0)]
+
+
 TEXTS = [
     (1, 'Call +1 (017) 555-7713 or 9807915762804490, und.34@mail7.example.com; IP 97.51.17.173. token = "ffc3105535f423f352535e4ac53b5fefe076ac6d" v1.2.3.4.5'),
     (2, "Mr. John Smith met Frau Müller and Dr. Anna Smith. Mr. Smith left. UND.34@mail7.example.com +1 017 555 7713"),
