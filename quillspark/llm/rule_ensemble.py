@@ -6,7 +6,7 @@ statistics. Logistic weights of the rules are fitted with a lasso penalty (proxi
 the rules with a weight are compiled into one Spark column expression, which scores every row.
 
 Cases: null and empty texts have statistics of 0 and are scored as such. Null labels are ignored;
-of several labels of a document the largest counts. Without any training label all scores are 0.5.
+of several labels of a document the largest counts, of several texts under one id that of the least statistics. Without any training label all scores are 0.5.
 Ties in a split's gain go to the first statistic and threshold. Repeated rows are scored alike, an
 empty table gives an empty result, and only the named columns are read. Texts are never cut.
 """
@@ -219,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str
     known = known.groupBy(id_col).agg(F.max(column).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.col(id_col), F.lit(23)), id_col).limit(max_train)
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    rows = with_statistics(picked, id_col, text_col, ("label",)).dropDuplicates([id_col]).toPandas().sort_values(id_col)
+    least = F.min(F.struct(*STATISTICS, "label")).alias("r")  # of several texts under one id
+    rows = with_statistics(picked, id_col, text_col, ("label",)).groupBy(id_col).agg(least).select(id_col, "r.*").toPandas().sort_values(id_col)
     return train(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["label"].to_numpy(int))
 
 
