@@ -28,6 +28,23 @@ def normalize(c: Column | str) -> Column:
     return squeeze(F.lower(col(c)))
 
 
+#: What full case folding makes of characters that lower-casing leaves or makes otherwise, by Unicode's own rule.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0xFB18)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and c.casefold() != c}
+
+
+def casefold(c: Column | str) -> Column:
+    """Full case folding: lower case, and ß as ss and the like where such characters occur."""
+    low = F.lower(col(c))
+    table = F.create_map(*[F.lit(x) for kv in _FOLDED.items() for x in kv])
+    each = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(low.rlike("[" + "".join(_FOLDED) + "]"), each).otherwise(low)
+
+
+def fold_normalize(c: Column | str) -> Column:
+    """Case-folded, squeezed."""
+    return squeeze(casefold(c))
+
+
 def capitalize(c: Column | str) -> Column:
     """First character upper, the rest lower."""
     return F.concat(F.upper(F.left(col(c), F.lit(1))), F.lower(F.substring(col(c), 2, 1 << 30)))

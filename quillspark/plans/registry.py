@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillspark.plans import assets, documents, items, reports, statistics  # noqa: F401
+    from quillspark.plans import assets, contracts, documents, items, reports, statistics  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
