@@ -1,18 +1,19 @@
 """Toxicity classifier (op 8): subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its whole form and its character n-grams (of its UTF-8 bytes, with marks for
-start and end), hashed into BUCKETS rows of an embedding; the KEPT rows whose presence tells the
-classes apart best (chi-square) are trained, the others are zero. A word's vector is the mean of its
-rows, a text's vector the mean of its words' vectors, and two softmax outputs are linear in it.
-Embedding and softmax are trained together by gradient descent in numpy on the driver, on at most
-MAX_PER_CLASS labelled texts of each class (chosen by hash; documented bound). As everything after
-the embedding is linear, scoring needs one number per bucket, which is broadcast (BUCKETS floats
-whatever the corpus). Misspelt words that were never seen share n-grams with those that were.
+start and end), hashed into BUCKETS rows of an embedding. A word's vector is the mean of its rows, a
+text's vector the mean of its words' vectors, and two softmax outputs are linear in it. Embedding
+and softmax are trained together by gradient descent in numpy on the driver, on at most MAX_PER_CLASS
+labelled texts of each class (chosen by hash; documented bound). Every row that a training text has is
+trained, weighed by how far its presence tells the classes apart; rows that none has stay zero. As everything after the embedding is linear, scoring needs one
+number per bucket, which is broadcast (BUCKETS floats whatever the corpus). Misspelt words that were
+never seen share n-grams with those that were.
 
 Cases: null and empty texts have the zero vector and so the score of the softmax's bias. Labels
-that are null are ignored; with several labels a document counts as toxic if one says so. Without
-any training label all scores are near 0. Repeated rows are scored
-alike. An empty table gives an empty result. Only the named columns are read.
+that are null are ignored; with several labels a document counts as toxic if one says so; of several texts under
+one id the one whose bag is least is trained on. Ties between hashes go to the lesser id. Without any training label
+all scores are near 0. Repeated rows are scored alike. Very long texts are read whole. An empty table gives an empty
+result. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -29,16 +30,15 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import fold
 
 BUCKETS = 1 << 20
-KEPT = 4000
-#: A bucket is trained if at least so many training texts have it.
-MIN_TEXTS = 5
 DIM = 8
 NGRAMS = (4, 5, 6, 7)
-MAX_PER_CLASS = 2500
-EPOCHS = 20
+MAX_PER_CLASS = 1000
+EPOCHS = 10
+#: A row whose presence tells the classes apart by a chi-square of so much counts half; shrinkage for each batch.
+TRUST, DECAY = 40.0, 1e-4
 _SPLIT = re.compile(r"[^\W\d_]+", re.UNICODE)
 _MIX, _PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(1099511628211)
-WORD_CACHE = 600_000
+WORD_CACHE = 150_000
 
 
 def letters(text: str | None) -> list[str]:
@@ -109,39 +109,48 @@ class Model:
         return np.array([sum(map(kept.__getitem__, x)) / len(x) if x else 0.0 for x in lists]) + self.bias
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, rows_of: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Gradient descent with momentum over embedding and softmax together. bags: indexes into rows_of (buckets)
-    and weights; prior: share of class 1 among all labels."""
-    if not len(labels) or labels.min() == labels.max() or not len(rows_of):
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Adaptive gradient descent over embedding and softmax together. bags: buckets and weights; prior: share of class
+    1 among all labels."""
+    if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 30.0 if len(labels) and labels.min() == 1 else -30.0)
-    rng, size, scale = np.random.default_rng(seed), 128, 30.0  # scale: a text's vector is a mean over hundreds of words
-    bags = [(b, w * scale) for b, w in bags]
-    emb, soft, bias = rng.normal(0, 0.1, (len(rows_of), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    v_emb, v_soft, v_bias = np.zeros_like(emb), np.zeros_like(soft), np.zeros(2)
-    share, decay = labels.mean(), 1e-4
-    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    rng, size, scale, f = np.random.default_rng(seed), 128, 30.0, np.float32  # scale: a text's vector is a mean over hundreds of words
+    rows_of, share = np.unique(np.concatenate([b for b, _ in bags])), labels.mean()
+    found = [np.searchsorted(rows_of, b) for b, _ in bags]
+    texts, toxic = np.zeros(len(rows_of)), np.zeros(len(rows_of))
+    for at, label in zip(found, labels, strict=True):
+        texts[at] += 1
+        toxic[at] += label
+    chi = (toxic - texts * share) ** 2 / (texts * share * (1 - share))
+    trust = scale * chi / (chi + TRUST)
+    bags = [(at, (w * trust[at]).astype(f)) for at, (_, w) in zip(found, bags, strict=True)]
+    emb, soft, bias = rng.normal(0, 0.1, (DIM, len(rows_of))).astype(f), rng.normal(0, 0.5, (DIM, 2)).astype(f), np.zeros(2, f)
+    seen_emb, seen_soft, seen_bias = (np.full_like(x, 1e-8) for x in (emb, soft, bias))
+    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(f)
     for epoch in range(epochs):
-        order, rate = rng.permutation(len(labels)), 0.3 * (1 - epoch / epochs)
+        order, rate = rng.permutation(len(labels)), f(0.2 * (1 - epoch / epochs))
         for lo in range(0, len(order), size):
             batch = order[lo : lo + size]
             rows, weights = (np.concatenate([bags[i][k] for i in batch]) for k in (0, 1))
             owner = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])
-            hidden = np.stack([np.bincount(owner, weights=emb[rows, d] * weights, minlength=len(batch)) for d in range(DIM)], 1)
+            hidden = np.stack([np.bincount(owner, weights=emb[d, rows] * weights, minlength=len(batch)) for d in range(DIM)], 1).astype(f)
             z = hidden @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), labels[batch]] -= 1
             p *= (cost[batch] / len(batch))[:, None]
             back = p @ soft.T
-            grad = np.stack([np.bincount(rows, weights=back[owner, d] * weights, minlength=len(emb)) for d in range(DIM)], 1)
-            v_emb = 0.9 * v_emb - rate * (grad + decay * emb)
-            v_soft = 0.9 * v_soft - rate * (hidden.T @ p + decay * soft)
-            v_bias = 0.9 * v_bias - rate * p.sum(0)
-            emb, soft, bias = emb + v_emb, soft + v_soft, bias + v_bias
+            for d in range(DIM):
+                grad = np.bincount(rows, weights=back[owner, d] * weights, minlength=len(rows_of)).astype(f)
+                seen_emb[d] += grad * grad
+                emb[d] = (emb[d] - rate * grad / np.sqrt(seen_emb[d])) * f(1 - DECAY)
+            for x, seen, grad in ((soft, seen_soft, hidden.T @ p), (bias, seen_bias, p.sum(0))):
+                seen += grad * grad
+                x -= rate * grad / np.sqrt(seen)
     # both classes weighed alike in training; half of the labels' log odds come back into the bias
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     value = np.zeros(BUCKETS)
-    value[rows_of] = scale * (emb @ (soft[:, 1] - soft[:, 0]))
+    value[rows_of] = trust * ((soft[:, 1] - soft[:, 0]) @ emb)
     return Model(value, bias[1] - bias[0] + 0.5 * np.log(prior / (1 - prior)))
 
 
@@ -159,54 +168,25 @@ def sample_labels(labels: DataFrame, per_class: int, id_col: str = "doc_id") ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> Model:
-    """Trains on labelled documents outside fold 0. Executors count the buckets and make
-    the bags; the driver gets KEPT buckets and at most 2 * per_class bags of those."""
+    """Trains on labelled documents outside fold 0. Executors make the bags; the driver gets at most 2 * per_class."""
     known = training_labels(labels, column, id_col)
-    chosen = sample_labels(known, per_class, id_col)
-    picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(id_col, text_col, "label")
-    total = picked.agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
+    picked = docs.select(id_col, text_col).join(F.broadcast(sample_labels(known, per_class, id_col)), id_col).select(id_col, text_col, "label")
     prior = known.agg(F.avg("label").alias("p")).first()["p"]
-    if not 0 < total["n1"] < total["n"]:
-        return train([], np.full(min(total["n"], 1), 1 if total["n1"] else 0), prior or 0.0, np.zeros(0, np.int64))
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-        for batch in batches:
-            for text, label in zip(batch.column(1), batch.column(2), strict=True):
-                b, _ = bag(text.as_py())
-                texts[b] += 1
-                toxic[b] += label.as_py()
-        at = np.flatnonzero(texts)
-        for lo in range(0, len(at), 50_000):
-            part = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(texts[part]), pa.array(toxic[part])], ["bucket", "texts", "toxic"])
-
-    share = total["n1"] / total["n"]
-    counts = picked.mapInArrow(presence, "bucket int, texts int, toxic int").groupBy("bucket").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"))
-    usual = F.col("texts") * share
-    chi = (F.col("toxic") - usual) * (F.col("toxic") - usual) / F.greatest(usual * (1 - F.col("texts") / total["n"]), F.lit(1e-9))
-    best = counts.where(F.col("texts") >= MIN_TEXTS).withColumn("chi", chi).where("chi > 0").orderBy(F.desc("chi"), "bucket").limit(KEPT)
-    rows_of = np.sort(np.array([r["bucket"] for r in best.collect()], np.int64))
-    number = np.full(BUCKETS, -1, np.int32)
-    number[rows_of] = np.arange(len(rows_of))
-    shipped = docs.sparkSession.sparkContext.broadcast(number)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for x in batch.column(1):
-                b, w = bag(x.as_py())
-                at = shipped.value[b]
-                made.append((at[at >= 0].astype("<u2").tobytes(), w[at >= 0].astype("<f4").tobytes()))
+            made = [bag(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([b for b, _ in made], pa.binary()), pa.array([w for _, w in made], pa.binary())], ["id", "label", "buckets", "weights"]
+                [batch.column(0), batch.column(2), pa.array([b.astype("<i4").tobytes() for b, _ in made], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in made], pa.binary())],
+                ["id", "label", "buckets", "weights"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = picked.mapInArrow(bags, f"id {kind}, label int, buckets binary, weights binary").dropDuplicates(["id"]).collect()
+    made = picked.mapInArrow(bags, f"id {kind}, label int, buckets binary, weights binary")
+    rows = made.groupBy("id").agg(F.min(F.struct("buckets", "weights", "label")).alias("r")).collect()
     rows.sort(key=lambda r: r["id"])
-    made = [(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(float)) for r in rows]
-    return train(made, np.array([r["label"] for r in rows], np.int64), prior or 0.0, rows_of)
+    found = [(np.frombuffer(r["r"]["buckets"], "<i4").astype(np.int64), np.frombuffer(r["r"]["weights"], "<f4")) for r in rows]
+    return train(found, np.array([r["r"]["label"] for r in rows], np.int64), prior or 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
