@@ -30,11 +30,10 @@ def _best(variants: pd.Series, payloads: pd.Series) -> pd.Series:
 
 
 def resolved(items: DataFrame, options: str = "candidate_answers", truth: str = "ground_truth") -> DataFrame:
-    """items with method and gold_index: the exact rules in the plan, and fuzzy_payload where they fail."""
-    r = mcq.resolve(F.col(options), F.col(truth))
-    rows = items.withColumn("_r", r)
-    done = rows.where("_r.method != 'unresolved'").withColumn("method", F.col("_r.method")).withColumn("gold_index", F.col("_r.index")).drop("_r")
-    variants, payloads = F.transform(mcq.truth_variants(F.col(truth)), mcq.canonical), F.transform(F.col(options), mcq.canonical)
-    rest = rows.where("_r.method = 'unresolved'").withColumn("gold_index", _best(variants, payloads))
-    rest = rest.withColumn("method", F.when(F.col("gold_index").isNull(), "unresolved").otherwise("fuzzy_payload")).drop("_r")
-    return done.unionByName(rest.select(*done.columns))
+    """items with method and gold_index: the exact rules in the plan, and fuzzy_payload where they fail. The UDF gets
+    nulls for the rows that the exact rules settle."""
+    rows = mcq.with_resolution(items, options, truth)
+    left = F.col("_method") == "unresolved"
+    rows = rows.withColumn("_f", _best(F.when(left, F.col("_variants")), F.when(left, F.col("_payload"))))
+    found = {"method": F.when(F.col("_f").isNotNull(), "fuzzy_payload").otherwise(F.col("_method")), "gold_index": F.coalesce("_f", "_index")}
+    return rows.withColumns(found).drop("_method", "_index", "_variants", "_payload", "_f")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import capitalize, col, normalize, squeeze, strip
@@ -69,6 +69,23 @@ def resolve(options: Column, truth: Column) -> Column:
     return F.struct(method.alias("method"), F.coalesce(exact, match, only).cast("bigint").alias("index"))
 
 
+def with_resolution(items: DataFrame, options: str, truth: str) -> DataFrame:
+    """items with _method and _index as resolve() gives them, and _variants and _payload, canonical. Every step is a column
+    that the next ones refer to, so nothing is evaluated twice and the plan stays small."""
+    first = lambda pool, texts: F.try_element_at(F.filter(F.transform(texts, lambda v: F.array_position(pool, v)), lambda i: i > 0), F.lit(1)) - 1
+    c, names = F.col, items.columns
+    rows = items.withColumns({"_t": strip(truth), "_e": embedded_truth(truth), "_full": F.transform(options, normalize), "_payload": F.transform(options, canonical), "_letters": F.transform(options, lambda o: F.coalesce(choice_label(o), F.lit("")))})
+    rows = rows.withColumns({"_tn": strip_notes("_t"), "_en": strip_notes("_e"), "_tl": strip_label("_t"), "_el": strip_label("_e")}).withColumn("_canon", normalize(strip_notes("_el")))
+    rows = rows.withColumn("_v", F.array_distinct(F.filter(F.array("_t", "_e", "_tn", "_en", "_tl", "_el", "_canon"), lambda x: x != "")))
+    rows = rows.withColumns({"_plain": F.transform("_v", normalize), "_variants": F.transform("_v", canonical), "_label": F.array_position("_letters", choice_label(truth))})
+    rows = rows.withColumns({"_x": first(c("_full"), c("_plain")), "_m": first(c("_payload"), c("_variants")), "_o": F.when((c("_label") > 0) & (c("_canon") == ""), c("_label") - 1)})
+    method = (
+        F.when(c(options).isNull(), "candidates_not_list").when(F.size(options) == 0, "no_candidates")
+        .when(c("_x").isNotNull(), "exact_full").when(c("_m").isNotNull(), "payload_match").when(c("_o").isNotNull(), "label_only").otherwise("unresolved")
+    )
+    return rows.select(*names, method.alias("_method"), F.coalesce("_x", "_m", "_o").cast("bigint").alias("_index"), "_variants", "_payload")
+
+
 def letter(index: Column) -> Column:
     return F.char(index + 65)
 

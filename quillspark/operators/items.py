@@ -6,19 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import mcq as M
-from quillspark.functions.text import strip
+from quillspark.functions.fuzzy import resolved
+from quillspark.functions.text import settled, strip
 
 # Limits of the item checks and the scaffold pattern of the evaluation-ready filter.
 MIN_QUESTION, MIN_RATIONALE, MIN_CONTEXT = 12, 40, 80
 SCAFFOLD = r"(?i)\b(full correct answer text|correct answer is|because|therefore|In this case)\b"
 
 
-def resolved(items: DataFrame, options: str = "candidate_answers", truth: str = "ground_truth") -> DataFrame:
-    """items with method and gold_index."""
-    r = M.resolve(F.col(options), F.col(truth))
-    return items.withColumn("_r", r).withColumn("method", F.col("_r.method")).withColumn("gold_index", F.col("_r.index")).drop("_r")
-
-
 def drop_reason(options: Column, method: Column) -> Column:
     """First reason why an item is not evaluation-ready, null if it is."""
     cleaned = F.transform(options, M.clean_option)
@@ -32,24 +27,23 @@ def drop_reason(options: Column, method: Column) -> Column:
 def eval_ready(items: DataFrame, id_col: str) -> DataFrame:
     """Items with four distinct options and a resolved answer, whose place goes round over A-D in id order.
     The rank is a prefix sum over ranges of ids, so no task orders all items."""
-    rows = resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))).where("reason is null")
-    ranked = with_rank(rows, id_col, "kept_rank")
-    cleaned = F.transform("candidate_answers", M.clean_option)
+    rows = resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))).where(settled(F.col("reason").isNull()))
+    ranked = with_rank(rows, id_col, "kept_rank", items)
     place = F.col("kept_rank") % 4
     # rotate so that the answer stands in its place
-    turn = F.pmod(F.col("gold_index") - place, F.lit(4)).cast("int")
-    rotated = F.concat(F.slice(F.col("_options"), turn + 1, F.lit(4)), F.slice(F.col("_options"), F.lit(1), turn))
-    return ranked.withColumn("_options", cleaned).select(id_col, rotated.alias("options"), F.element_at(rotated, (place + 1).cast("int")).alias("ground_truth"), place.alias("gold_index"), F.char(place + 65).alias("gold_letter"), F.col("gold_index").alias("source_gold_index"))
-
-
-def with_rank(rows: DataFrame, key: str, name: str, buckets: int = 1 << 12) -> DataFrame:
-    """rows with their rank (from 0) by a whole-number key that is unique: ranks within buckets of keys, plus the rows of
-    the buckets before."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn(name, F.lit(0).cast("bigint"))
-    width = max(1, (high - low) // buckets + 1)
-    bucketed = rows.withColumn("_bucket", F.floor((F.col(key) - low) / width))
+    made = ranked.withColumns({"_options": F.transform("candidate_answers", M.clean_option), "_turn": F.pmod(F.col("gold_index") - place, F.lit(4)).cast("int"), "_place": place})
+    made = made.withColumn("_rotated", F.concat(F.slice("_options", F.col("_turn") + 1, F.lit(4)), F.slice("_options", F.lit(1), F.col("_turn"))))
+    answer = F.element_at("_rotated", (F.col("_place") + 1).cast("int"))
+    return made.select(id_col, F.col("_rotated").alias("options"), answer.alias("ground_truth"), F.col("_place").alias("gold_index"), F.char(F.col("_place") + 65).alias("gold_letter"), F.col("gold_index").alias("source_gold_index"))
+
+
+def with_rank(rows: DataFrame, key: str, name: str, source: DataFrame | None = None, buckets: int = 200) -> DataFrame:
+    """rows with their rank (from 0) by a key that is unique and a number: ranks within ranges of keys, plus the rows of
+    the ranges before. The ranges hold like numbers of the source's keys, however those are spread; null keys come first."""
+    cuts = (rows if source is None else source).select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 0.001)
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    bucketed = rows.withColumn("_bucket", F.coalesce(F.when(F.col(key).isNotNull(), bucket), F.lit(-1)))
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1 + F.col("_before")
@@ -67,17 +61,18 @@ def eval_ready_language_reasons(*texts: Column) -> Column:
     return F.array_compact(F.array(F.when(merged.rlike(M.CJK), F.lit("cjk_chars")), F.when(merged.rlike(SCAFFOLD), F.lit("english_scaffold"))))
 
 
-def quality_flags(question: Column, options: Column, truth: Column, rationale: Column, context: Column, multimodal: Column, visuals: Column, scores: Column | None = None) -> Column:
-    """Flag codes with severities, in fixed order."""
+def quality_flags(question: Column, options: Column, truth: Column, rationale: Column, context: Column, multimodal: Column, visuals: Column, scores: Column | None = None, method: Column | None = None) -> Column:
+    """Flag codes with severities, in fixed order. method: how the answer was resolved, where the fuzzy stage has run."""
     flag = lambda when, code, severity: F.when(when, F.struct(F.lit(code).alias("code"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity")))
     size = lambda c: F.length(strip(F.coalesce(c, F.lit(""))))
-    method = M.resolve(options, truth)["method"]
+    method = M.resolve(options, truth)["method"] if method is None else method
     canon = F.filter(F.transform(options, M.canonical), lambda x: x != "")
     reasons = release_language_reasons(question, options, truth, rationale)
     hard = F.array_contains(reasons, "cjk_chars") | F.array_contains(reasons, "prompt_leak")
     low = F.lower(F.coalesce(rationale, F.lit("")))
     flags = [
         flag(method.isin("unresolved", "no_candidates", "candidates_not_list"), "gt_unresolved", "error"),
+        flag(method == "fuzzy_payload", "gt_fuzzy_only", "warn"),
         flag(F.size(options) != 4, "candidate_count", F.when(F.size(options) < 2, "error").otherwise("warn")),
         flag(F.size(F.array_distinct(canon)) < F.size(canon), "duplicate_candidates", "error"),
         flag(F.exists(options, lambda o: M.choice_label(o).isNull()), "candidate_unlabeled", "warn"),
