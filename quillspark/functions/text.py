@@ -13,12 +13,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def settled(condition: Column) -> Column:
-    """The condition, where it stands: the optimiser neither moves it below the columns it is made of, which would repeat
-    their expressions, nor infers more conditions from them."""
-    return condition & (F.rand() >= 0)
-
-
 def strip(c: Column | str) -> Column:
     """Text without white space at either end."""
     return F.regexp_replace(col(c), rf"(?U)^{WS}+|{WS}+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import mcq as M
 from quillspark.functions.fuzzy import resolved
-from quillspark.functions.text import settled, strip
+from quillspark.functions.text import strip
 
 # Limits of the item checks and the scaffold pattern of the evaluation-ready filter.
 MIN_QUESTION, MIN_RATIONALE, MIN_CONTEXT = 12, 40, 80
@@ -24,10 +24,16 @@ def drop_reason(options: Column, method: Column) -> Column:
     )
 
 
+def kept(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows that fulfil a condition on columns that are dear to make. The optimiser can't move it below them, which would
+    make them twice and the plan many times as large."""
+    return rows.withColumn("_kept", F.rand()).where(condition & (F.col("_kept") >= 0)).drop("_kept")
+
+
 def eval_ready(items: DataFrame, id_col: str) -> DataFrame:
     """Items with four distinct options and a resolved answer, whose place goes round over A-D in id order.
     The rank is a prefix sum over ranges of ids, so no task orders all items."""
-    rows = resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))).where(settled(F.col("reason").isNull()))
+    rows = kept(resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))), F.col("reason").isNull())
     ranked = with_rank(rows, id_col, "kept_rank", items)
     place = F.col("kept_rank") % 4
     # rotate so that the answer stands in its place

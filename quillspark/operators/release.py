@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fuzzy
 from quillspark.functions import mcq as M
-from quillspark.functions.text import normalize, settled, strip
-from quillspark.operators.items import drop_reason, with_rank
+from quillspark.functions.text import normalize, strip
+from quillspark.operators.items import drop_reason, kept, with_rank
 
 # Fields that a record needs, domain tags that say nothing, cue words of the visual audit.
 REQUIRED = ("qa_id", "question_content", "candidate_answers", "ground_truth", "legal_rationale")
@@ -53,7 +53,7 @@ def seeded_orders(spark: SparkSession, n: int, seed: int) -> DataFrame:
 
 def rebalanced(items: DataFrame, position: str, seed: int) -> DataFrame:
     """Evaluation-ready items in a seeded option order, with the answer moved to places that go round over A-D."""
-    rows = fuzzy.resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))).where(settled(F.col("reason").isNull()))
+    rows = kept(fuzzy.resolved(items).withColumn("reason", drop_reason(F.col("candidate_answers"), F.col("method"))), F.col("reason").isNull())
     ranked = with_rank(rows, position, "kept_rank", items)
     orders = seeded_orders(items.sparkSession, ranked.count(), seed)
     byte = F.hex(F.substring(F.col("orders"), (F.col("kept_rank") % CHUNK + 1).cast("int"), F.lit(1)))
@@ -65,8 +65,8 @@ def rebalanced(items: DataFrame, position: str, seed: int) -> DataFrame:
     swapped = F.transform("order", lambda x, i: F.when(i == place, F.col("_gold")).when(i == F.col("_at"), F.element_at("order", place + 1)).otherwise(x))
     options = F.transform(swapped, lambda i: F.element_at("_cleaned", i + 1))
     made = joined.withColumn("_options", options)
-    kept = [c for c in items.columns if c not in ("candidate_answers", "ground_truth")]
-    return made.select(*kept, F.col("_options").alias("candidate_answers"), F.element_at("_options", place + 1).alias("ground_truth"), place.cast("bigint").alias("gold_index"), F.col("method").alias("source_match_method"), F.col("gold_index").alias("source_gold_index"))
+    others = [c for c in items.columns if c not in ("candidate_answers", "ground_truth")]
+    return made.select(*others, F.col("_options").alias("candidate_answers"), F.element_at("_options", place + 1).alias("ground_truth"), place.cast("bigint").alias("gold_index"), F.col("method").alias("source_match_method"), F.col("gold_index").alias("source_gold_index"))
 
 
 def evaluable(records: DataFrame) -> DataFrame:
