@@ -61,18 +61,73 @@ def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cliffs_delta(rows, "first", "x")
 
 
-@query("friedman_stat", """WITH c AS (SELECT o_custkey AS block, o_orderpriority AS level, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), full_ AS (SELECT block FROM c GROUP BY block HAVING count(*) = 5),
-    r AS (SELECT block, level, rank() OVER (PARTITION BY block ORDER BY v) AS r FROM c SEMI JOIN full_ USING (block)), s AS (SELECT level, sum(r) AS rs FROM r GROUP BY level), n AS (SELECT count(DISTINCT block)::DOUBLE AS n FROM r)
-    SELECT CAST(max(n) AS BIGINT) AS n_blocks, round(12 / (max(n) * 5 * 6) * sum(rs * rs) - 3 * max(n) * 6, 6) AS chi2, round((12 / (max(n) * 5 * 6) * sum(rs * rs) - 3 * max(n) * 6) / (max(n) * 4), 6) AS kendall_w FROM s, n""")
+# prices are rounded to ten thousands, so that there are ties
+@query("friedman_stat", """WITH c AS (SELECT o_custkey AS block, o_orderpriority AS level, round(avg(o_totalprice) / 50000) AS v FROM orders GROUP BY 1, 2), f AS (SELECT block FROM c GROUP BY block HAVING count(*) = 5), k AS (SELECT c.* FROM c SEMI JOIN f USING (block)),
+    r AS (SELECT x.block, x.level, count(CASE WHEN y.v < x.v THEN 1 END) + (count(CASE WHEN y.v = x.v THEN 1 END) + 1) / 2.0 AS r FROM k x JOIN k y USING (block) GROUP BY ALL), s AS (SELECT sum(rs * rs) AS sq FROM (SELECT sum(r) AS rs FROM r GROUP BY level)),
+    t AS (SELECT coalesce(sum(t * t * t - t), 0) AS ties FROM (SELECT count(*) AS t FROM k GROUP BY block, v)), n AS (SELECT count(DISTINCT block)::DOUBLE AS n FROM k),
+    x AS (SELECT n, (12 / (n * 30) * sq - 18 * n) / (1 - ties / (n * 120)) AS chi FROM s, t, n) SELECT CAST(n AS BIGINT) AS n_blocks, round(chi, 6) AS chi2, round(exp(-chi / 2) * (1 + chi / 2), 6) AS p, round(chi / (n * 4), 6) AS kendall_w FROM x""")
 def friedman_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("block"), F.col("o_orderpriority").alias("level")).agg(F.avg("o_totalprice").alias("v"))
+    cells = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("block"), F.col("o_orderpriority").alias("level")).agg(F.round(F.avg("o_totalprice") / 50000).alias("v"))
     return S.friedman(cells, 5)
 
 
-@query("bootstrap_mean_ci")
+PAIRED_SQL = "p AS (SELECT s_suppkey, round(s_acctbal / 500) AS a, round((s_acctbal + s_nationkey * 40 - 500) / 500) AS b FROM supplier)"
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") / 500).alias("a"), F.round((F.col("s_acctbal") + F.col("s_nationkey") * 40 - 500) / 500).alias("b"))
+
+
+@query("wilcoxon_signed", f"""WITH {PAIRED_SQL}, d AS (SELECT a - b AS d FROM p WHERE a <> b), r AS (SELECT x.d, (SELECT count(*) FROM d y WHERE abs(y.d) < abs(x.d)) + ((SELECT count(*) FROM d y WHERE abs(y.d) = abs(x.d)) + 1) / 2.0 AS r FROM d x),
+    w AS (SELECT count(*)::DOUBLE AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS up, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS down FROM r), t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM d GROUP BY abs(d)))
+    SELECT CAST(n AS BIGINT) AS n, least(up, down)::DOUBLE AS statistic, round((least(up, down) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM w, t""")
+def wilcoxon_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.wilcoxon(paired(spark, sf_dir), "a", "b").withColumn("z", F.round("z", 6))
+
+
+@query("exact_tests", """WITH c AS (SELECT n_nationkey AS k, n_nationkey % 9 AS b, n_nationkey % 5 + n_nationkey // 6 AS c FROM nation), f AS (SELECT k, b, c, least(b, c) AS m, b + c AS n FROM c)
+    SELECT k, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, m + 1), lambda i: factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER)))::DOUBLE)) / power(2, n)) END, 6)::DOUBLE AS mcnemar_p,
+    round(CASE WHEN n = 0 THEN 1.0 ELSE list_sum(list_filter(list_transform(range(0, n + 1), lambda i: factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER)))::DOUBLE * power(0.25, i) * power(0.75, n - i)),
+      lambda x: x <= 1.0000001 * (factorial(CAST(n AS INTEGER)) / (factorial(CAST(b AS INTEGER)) * factorial(CAST(n - b AS INTEGER)))::DOUBLE * power(0.25, b) * power(0.75, n - b)))) END, 6)::DOUBLE AS binomial_p FROM f""")
+def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(k.cast("int").alias("k"), (k % 9).cast("int").alias("b"), (k % 5 + F.floor(k / 6)).cast("int").alias("c"))
+    return rows.select("k", "b", "c", F.round(S.exact_mcnemar(F.col("b"), F.col("c")), 6).alias("mcnemar_p"), F.round(S.binomial_test(F.col("b"), F.col("b") + F.col("c"), 0.25), 6).alias("binomial_p"))
+
+
+UNIFORM_SQL = "CAST('0x' || substr(sha256({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+WEIGHT_SQL = "(" + " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in S.POISSON) + ")"
+RANKS_SQL = "o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () - 1 AS k FROM {}), q AS (SELECT max(CASE WHEN i = round_even(k * 0.025, 0) THEN m END) AS low, max(CASE WHEN i = round_even(k * 0.975, 0) THEN m END) AS high FROM o)"
+
+
+@query("bootstrap_mean_ci", f"""WITH d AS (SELECT rep, c_acctbal AS x, {UNIFORM_SQL.format("'42|' || c_custkey || '|' || rep")} AS u FROM customer, range(1, 201) r(rep)), w AS (SELECT rep, x, {WEIGHT_SQL} AS w FROM d), b AS (SELECT rep, sum(w * x) / sum(w) AS m FROM w GROUP BY rep), {RANKS_SQL.format('b')}
+    SELECT (SELECT count(*) FROM customer) AS n, round((SELECT avg(c_acctbal) FROM customer), 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM q""")
 def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Poisson bootstrap of the mean account balance, seeded by hash: no random state, any partitioning."""
-    return S.bootstrap_mean(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")), replicates=200)
+    """Poisson bootstrap of the mean account balance, seeded by digests: no random state, any partitioning."""
+    out = S.bootstrap_mean(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x")), replicates=200)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@query("paired_median_ci", f"""WITH {PAIRED_SQL}, d AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, a - b AS d FROM p WHERE s_suppkey <= 14), n AS (SELECT count(*) AS n FROM d), g AS (SELECT rep, CAST(floor({UNIFORM_SQL.format("'7|' || rep || '|' || j")} * n) AS BIGINT) AS i FROM n, range(1, 301) r(rep), (SELECT unnest(range(1, n + 1)) AS j FROM n)),
+    b AS (SELECT rep, quantile_cont(d, 0.5) AS m FROM g JOIN d USING (i) GROUP BY rep) SELECT (SELECT quantile_cont(d, 0.5) FROM d)::DOUBLE AS median, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b""")
+def paired_median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = paired(spark, sf_dir).where("s_suppkey <= 14").select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("bigint").alias("i"), (F.col("a") - F.col("b")).alias("d"))
+    return S.paired_median_ci(d, 300, 7).select("median", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("cluster_bootstrap", f"""WITH s AS (SELECT o_custkey AS c, sum(CAST(o_orderkey % 4 = 0 AS INT) - CAST(o_orderkey % 5 = 0 AS INT)) AS d, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT rep, d, n, {UNIFORM_SQL.format("'42|' || c || '|' || rep")} AS u FROM s, range(1, 101) r(rep)), w AS (SELECT rep, d, n, {WEIGHT_SQL} AS w FROM g),
+    b AS (SELECT rep, sum(w * d) / sum(w * n)::DOUBLE AS m FROM w GROUP BY rep), {RANKS_SQL.format('b')} SELECT (SELECT count(*) FROM s) AS clusters, round((SELECT sum(d) / sum(n)::DOUBLE FROM s), 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM q""")
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (k % 4 == 0).cast("int").alias("a"), (k % 5 == 0).cast("int").alias("b"))
+    return S.cluster_bootstrap(rows, "o_custkey", "a", "b", 100).select("clusters", *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")])
+
+
+@query("block_composites", "WITH c AS (SELECT l_orderkey AS cell, avg(l_quantity) AS q, avg(l_discount) AS d, count(DISTINCT l_returnflag) AS judges FROM lineitem GROUP BY 1) SELECT cell, round((q + d) / 2, 6) AS composite FROM c WHERE judges = 2")
+def block_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the dimensions of every cell that two judges marked."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cell")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.count_distinct("l_returnflag").alias("judges"))
+    return cells.where("judges = 2").select("cell", F.round((F.col("q") + F.col("d")) / 2, 6).alias("composite"))
 
 
 @query("complete_blocks", "SELECT o_custkey AS block, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS cells FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 5")
