@@ -18,7 +18,7 @@ def files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str, suffix: str = ".md") -> DataFrame:
     """doc_id (file name without suffix), path and whole text of every text file."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
     return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
