@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # URL tokens of the asset rules.
@@ -74,8 +76,40 @@ def box_problem(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     )
 
 
+def subject(c: Column, default: str) -> Column:
+    """Subject of an id's leading number; the default for a number that has none or an id without."""
+    table = F.create_map(*[F.lit(x) for k, v in DOMAINS.items() for x in (str(k), v)])
+    return F.coalesce(F.try_element_at(table, F.regexp_extract(c, r"^\s*(\d+)", 1)), F.lit(default))
+
+
+def multimodal(flag: Column, visuals: Column) -> Column:
+    """A set flag, or visuals where it is not set."""
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(F.size(visuals) > 0, F.lit(False))
+
+
 def domain(*ids: Column) -> Column:
     """Subject of the first id that starts with a number: Other if the number is unknown; unknown without any."""
     table = F.create_map(*[F.lit(x) for k, v in DOMAINS.items() for x in (str(k), v)])
     numbers = [F.regexp_extract(i, r"^\s*(\d+)", 1) for i in ids]
     return F.coalesce(*[F.when(n != "", F.coalesce(F.try_element_at(table, n), F.lit("Other"))) for n in numbers], F.lit("unknown"))
+
+
+def crawl(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], host: str, steps: int, keywords: tuple[str, ...] = (), least: int = 0, most: int | None = None) -> DataFrame:
+    """(url, depth) of the pages reached from start (url) over links within a host, so many steps deep. fetch gives url
+    and html of those it can get; pages of fewer bytes than `least` are passed over, links need one of the keywords
+    where there are any, and `most` ends the crawl after the step that reaches so many pages."""
+    from quillspark.operators.documents import links
+
+    seen = start.distinct().withColumn("depth", F.lit(0))
+    frontier = seen
+    for step in range(1, steps + 1):
+        pages = fetch(frontier.select("url")).where(F.octet_length("html") >= least)
+        found = links(pages, "url", "html", escaped=True).select(F.col("link").alias("url")).distinct()
+        found = found.where(same_host(F.regexp_extract("url", r"^https?://([^/?#]+)", 1), host))
+        if keywords:
+            found = found.where(any_of(F.lower("url"), keywords))
+        frontier = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(step))
+        seen = seen.unionByName(frontier)
+        if most is not None and seen.count() >= most:
+            break
+    return seen

@@ -16,6 +16,7 @@ TOC = r"\.\.+\s*\d+|\d+\s*$"
 MIN_CHARS, MAX_CHARS, DEEPEST = 100, 3000, 3
 MIN_WORDS, MAX_SPECIAL, MAX_TOC = 15, 0.5, 5
 MARK = "\u0001"
+IMAGE_MARK = r"!\[[^\]]*\]\([^)]+\)"
 
 
 def html_to_markdown(c: Column | str) -> Column:
@@ -29,7 +30,7 @@ def html_to_markdown(c: Column | str) -> Column:
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, keep_deep: bool = False) -> DataFrame:
     """Chunks of every text: doc_id, chunk_id, section_title, header_level, text. Boundaries are headers and legal
-    sections; a window numbers the chunks of a document, which is one row's content and so bounded by it."""
+    sections; short chunks stay only if they hold an image; a window numbers the chunks of a document, which is one row's content and so bounded by it."""
     text = col(text_col)
     pieces = F.split(F.regexp_replace(text, BOUNDARY, MARK + "$0"), MARK)
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text.alias("_all"), F.posexplode(pieces).alias("pos", "piece"), F.size(pieces).alias("n"))
@@ -39,7 +40,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, keep_deep: bool = False)
     title = F.when(F.col("n") == 1, "Full Document").when(F.col("pos") == 0, "Preamble").when(hashes != "", strip(F.regexp_extract("piece", r"^#{1,6}\s+([^\n]*)", 1))).otherwise(F.left(F.substring_index("piece", "\n", 1), F.lit(50)))
     rows = rows.select("doc_id", "pos", "n", body.alias("body"), level.alias("header_level"), title.alias("section_title"))
     whole = F.col("n") == 1
-    kept = rows.where(whole | ((F.length("body") >= MIN_CHARS) & (F.lit(keep_deep) | (F.col("header_level") <= DEEPEST))))
+    has_image = F.col("body").rlike(IMAGE_MARK)
+    kept = rows.where(whole | (((F.length("body") >= MIN_CHARS) | has_image) & (F.lit(keep_deep) | (F.col("header_level") <= DEEPEST))))
     cut = F.when(~whole & (F.col("pos") > 0) & (F.length("body") > MAX_CHARS), F.concat(F.left("body", F.lit(MAX_CHARS)), F.lit("\n\n[... truncated ...]"))).otherwise(F.col("body"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     return kept.select("doc_id", F.concat("doc_id", F.lit("_chunk_"), number.cast("string")).alias("chunk_id"), "section_title", F.col("header_level").cast("bigint").alias("header_level"), cut.alias("text"))
@@ -51,16 +53,20 @@ def without_noise(c: Column | str) -> Column:
 
 
 def clean_reason(c: Column | str, multimodal: Column | None = None) -> Column:
-    """Why a chunk is dropped: toc, short, noisy, no_sentence; null if it stays."""
-    lines = without_noise(c)
-    text = strip(F.array_join(lines, "\n"))
-    toc = F.size(F.filter(lines, lambda line: line.rlike(TOC)))
-    special = 1 - F.length(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\s]", "")) / F.length(text)
+    """Why a chunk is dropped: toc, short, noisy, no_sentence; null if it stays. Lines and text are bound once."""
     own = F.lit(True) if multimodal is None else ~multimodal
-    return (
-        F.when(toc > MAX_TOC, "toc").when(own & (word_count(text) < MIN_WORDS), "short").when(own & (text != "") & (special > MAX_SPECIAL), "noisy")
-        .when(own & (F.regexp_count(F.concat(text, F.lit(" ")), F.lit(r"[.?!]\s")) < 1), "no_sentence")
-    )
+    bound = F.transform(F.array(without_noise(c)), lambda lines: F.struct(lines.alias("lines"), strip(F.array_join(lines, "\n")).alias("text")))
+
+    def reason(x: Column) -> Column:
+        lines, text = x["lines"], x["text"]
+        toc = F.size(F.filter(lines, lambda line: line.rlike(TOC)))
+        special = 1 - F.length(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}\s]", "")) / F.length(text)
+        return (
+            F.when(toc > MAX_TOC, "toc").when(own & (word_count(text) < MIN_WORDS), "short").when(own & (text != "") & (special > MAX_SPECIAL), "noisy")
+            .when(own & ~F.concat(text, F.lit(" ")).rlike(r"[.?!]\s"), "no_sentence")
+        )
+
+    return F.element_at(F.transform(bound, reason), 1)
 
 
 def clean(chunk_rows: DataFrame, text_col: str = "text", multimodal: str | None = None, enabled: bool = True) -> DataFrame:
@@ -84,9 +90,12 @@ def idf_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)), 6).alias("idf"))
 
 
-def links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """One row per page and target of href or src."""
+def links(pages: DataFrame, id_col: str, html_col: str, escaped: bool = False) -> DataFrame:
+    """One row per page and target of href or src; escaped adds absolute URLs whose slashes are escaped, as in scripts."""
     found = F.regexp_extract_all(col(html_col), F.lit(r"""(?i)(?:href|src)\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    if escaped:
+        more = F.regexp_extract_all(col(html_col), F.lit(r"""https?:\\/\\/[^"'\s<>]+"""), F.lit(0))
+        found = F.array_distinct(F.concat(found, F.transform(more, lambda u: F.replace(u, F.lit("\\/"), F.lit("/")))))
     return pages.select(id_col, F.explode(found).alias("link"))
 
 

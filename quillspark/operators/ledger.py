@@ -63,8 +63,10 @@ def stratified(rows: DataFrame, strata: list[str], key: str, each: int, seed: in
 
 def document_splits(rows: DataFrame, doc: str, multimodal: str, seed: int, train: float = 0.8, dev: float = 0.1) -> DataFrame:
     """rows with a split that no document crosses. Documents' sizes are aggregated, and dealt one after the other:
-    to the split that lacks most, and past all targets to the one that overflows least."""
-    sizes = {r[doc]: (r["n"], r["mm"]) for r in rows.groupBy(doc).agg(F.count("*").alias("n"), F.count_if(F.col(multimodal)).alias("mm")).orderBy(doc).collect()}
+    to the split that lacks most, and past all targets to the one that overflows least. The greedy rule is sequential
+    by nature: the driver holds two numbers a document, not rows. Rows without a document are one document."""
+    found = rows.groupBy(doc).agg(F.count("*").alias("n"), F.count_if(F.col(multimodal)).alias("mm")).orderBy(doc)
+    sizes = {r[doc]: (r["n"], r["mm"]) for r in found.toLocalIterator()}
     order = list(sizes)
     random.Random(seed).shuffle(order)
     order.sort(key=lambda d: -sizes[d][0])
@@ -82,5 +84,7 @@ def document_splits(rows: DataFrame, doc: str, multimodal: str, seed: int, train
         flagged[name] += mm
         chosen[d] = name
     spark = rows.sparkSession
-    splits = spark.createDataFrame(list(chosen.items()), f"`{doc}` string, split string")
-    return rows.join(F.broadcast(splits), doc) if len(chosen) <= 100_000 else rows.join(splits, doc)
+    kind = rows.schema[doc].dataType.simpleString()
+    splits = spark.createDataFrame(list(chosen.items()), f"_doc {kind}, split string")
+    side = F.broadcast(splits) if len(chosen) <= 100_000 else splits
+    return rows.join(side, F.col(doc).eqNullSafe(F.col("_doc"))).drop("_doc")

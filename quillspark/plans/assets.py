@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import assets as A
 from quillspark.operators import documents as D
+from quillspark.operators.release import PLACEHOLDERS
 from quillspark.plans.registry import query
 from quillspark.sources.tables import table
 
@@ -59,6 +60,25 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(seen, "link", "left_anti")
 
 
+@query("escaped_links", """SELECT page_id, 'https://a.example/' || page_id || '/x.pdf' AS link FROM pages UNION ALL SELECT page_id, '/' || page_id FROM pages""")
+def escaped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes, and URLs in scripts whose slashes are escaped."""
+    i = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="/'), i, F.lit('">x</a><script>{"u":"https:\\/\\/a.example\\/'), i, F.lit('\\/x.pdf"}</script>'))
+    return D.links(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html", escaped=True)
+
+
+# a site of suppliers: page k links to 2k + 1 and 2k + 2, and to another host
+@query("crawl_site", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), c AS (SELECT 0::BIGINT AS k, 0 AS depth UNION ALL SELECT child, depth + 1 FROM (SELECT c.k * 2 + o AS child, depth FROM c, n, (VALUES (1), (2)) t(o) WHERE c.k < n.n) WHERE depth < 3) SELECT 'https://www.site.example/p' || k AS url, depth FROM c""")
+def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth first from one page over pages of the same host, three steps deep; the fetcher is a table."""
+    k = F.col("s_suppkey") - 1
+    page = lambda n: F.concat(F.lit('<a href="https://www.site.example/p'), n.cast("string"), F.lit('">'))
+    site = table(spark, sf_dir, "supplier").select(F.concat(F.lit("https://www.site.example/p"), k.cast("string")).alias("url"), F.concat(page(k * 2 + 1), page(k * 2 + 2), F.lit('<a href="https://other.example/x">'), page(F.lit(0))).alias("html"))
+    start = spark.range(1).select(F.lit("https://www.site.example/p0").alias("url"))
+    return A.crawl(start, lambda urls: urls.join(site, "url"), "site.example", 3)
+
+
 PAGE_SQL = "s AS (SELECT event_id, event_id % 7 AS rects, event_id % 5 AS lines, event_id % 9 AS curves, event_id % 2 AS big_imgs, event_id % 600 AS txt_len, user_id FROM events)"
 
 
@@ -99,7 +119,16 @@ def visual_anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", A.box_problem(*box).alias("problem"))
 
 
-@query("domain_tags", "SELECT page_id, CASE CAST(page_id % 60 AS VARCHAR) WHEN '4' THEN 'History of Law' WHEN '10' THEN 'Legislative Drafting' WHEN '38' THEN 'Labor Law' WHEN '53' THEN 'Contract Skills' ELSE 'see map' END AS tag FROM pages WHERE page_id % 60 IN (4, 10, 38, 53)")
+DOMAIN_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in A.DOMAINS.items()) + "}"
+
+
+@query("domain_tags", f"""WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Own tag' WHEN 1 THEN 'civil_law' WHEN 2 THEN '' ELSE 'unknown' END AS tag, CASE WHEN page_id % 5 > 0 THEN CAST(page_id % 60 AS VARCHAR) || '_book' ELSE 'book' END AS doc_id, CAST(page_id % 59 AS VARCHAR) || '_q' AS qa_id FROM pages), n AS (SELECT *, regexp_extract(doc_id, '^[0-9]+') AS d, regexp_extract(qa_id, '^[0-9]+') AS q, {DOMAIN_SQL} AS m FROM r)
+    SELECT page_id, CASE WHEN page_id % 4 = 0 THEN tag WHEN d <> '' THEN coalesce(m[d], 'Other') ELSE coalesce(m[q], 'Other') END AS tag, coalesce(m[q], 'Other') AS by_question, CASE WHEN d <> '' THEN coalesce(m[d], 'Other') ELSE coalesce(m[q], 'Other') END AS by_document, page_id % 3 = 0 OR page_id % 7 = 0 AS is_multimodal FROM n""")
 def domain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "pages").where((F.col("page_id") % 60).isin(4, 10, 38, 53)).select("page_id", F.concat((F.col("page_id") % 60).cast("string"), F.lit("_book")).alias("doc_id"))
-    return ids.select("page_id", A.domain(F.col("doc_id")).alias("tag"))
+    """A tag that says something, else the document's subject, else the question's; and the variants that skip the tag."""
+    i = F.col("page_id")
+    ids = table(spark, sf_dir, "pages").select("page_id", F.when(i % 4 == 0, "Own tag").when(i % 4 == 1, "civil_law").when(i % 4 == 2, "").otherwise("unknown").alias("tag"), F.when(i % 5 > 0, F.concat((i % 60).cast("string"), F.lit("_book"))).otherwise("book").alias("doc_id"), F.concat((i % 59).cast("string"), F.lit("_q")).alias("qa_id"))
+    by_doc = A.domain(F.col("doc_id"), F.col("qa_id"))
+    tag = F.when(~F.col("tag").isin(*PLACEHOLDERS), F.col("tag")).otherwise(by_doc)
+    visuals = F.when(i % 7 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return ids.select("page_id", tag.alias("tag"), A.subject(F.col("qa_id"), "Other").alias("by_question"), by_doc.alias("by_document"), A.multimodal(F.when(i % 3 == 0, True), visuals).alias("is_multimodal"))

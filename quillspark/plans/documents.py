@@ -192,19 +192,23 @@ def cumulative_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "longest_common_run",
+    "shared_benchmark_runs",
     """WITH t AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[\\s\\x1c-\\x1f]+', ' ', 'g')), ' ') AS w FROM documents),
     d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
     u AS (SELECT item_id, string_split_regex(trim(regexp_replace(lower(text), '[\\s\\x1c-\\x1f]+', ' ', 'g')), ' ') AS w FROM benchmark),
     b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM u))
     SELECT doc_id, item_id, count(*) AS shared_runs FROM d JOIN b USING (gram) GROUP BY doc_id, item_id""",
 )
-def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of eight words that a document shares with a benchmark item."""
+def shared_benchmark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of eight words that a document shares with a benchmark item. Documents' runs are digested, and joined with
+    the benchmark's: a broadcast while those are few (the planner's size check), a shuffle of digests beyond it."""
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\s\x1c-\x1f]+", " ")), " ")
-        runs = F.when(F.size("w") >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(8)), " "))))
+        runs = F.when(F.size("w") >= 8, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.md5(F.array_join(F.slice(F.col("w"), i, F.lit(8)), " ")))))
         return df.select(key, w.alias("w")).select(key, F.explode(runs).alias("gram"))
 
-    return grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_runs"))
+    asked = grams(table(spark, sf_dir, "benchmark"), "item_id").persist()
+    few = asked.count() <= 200_000
+    side = F.broadcast(asked) if few else asked
+    return grams(table(spark, sf_dir, "documents"), "doc_id").join(side, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_runs"))

@@ -93,10 +93,10 @@ NOTES = ["", " Therefore it is so.", " 根据提供的背景信息", " only the
 
 def _noted(c: str) -> F.Column:
     k = F.col("doc_id") % 7
-    return F.concat(F.left(F.col(c), F.lit(200)), *[F.when(k == i, n).otherwise("") for i, n in enumerate(NOTES)])
+    return F.concat(F.col(c), *[F.when(k == i, n).otherwise("") for i, n in enumerate(NOTES)])
 
 
-NOTED_SQL = "left(text, 200) || CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOTES)) + " ELSE '' END"
+NOTED_SQL = "text || CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOTES)) + " ELSE '' END"
 SANITIZE_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)\\s*\\((?:full correct answer text|correct answer text)\\)\\s*', '', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 SANITIZED = strip_sql("array_to_string(list_transform(string_split(" + SANITIZE_SQL.format(x="t") + ", chr(10)), lambda x: " + strip_sql("x") + "), chr(10))")
 
