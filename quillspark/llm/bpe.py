@@ -24,10 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quillspark.llm.common import small_batches, tidy
+
 #: The pre-token pattern of byte-level BPE and its table of printable stand-ins for bytes.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Entries that a worker keeps of each kind before it starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -200,6 +202,7 @@ def read_vocabulary(path: str) -> str:
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded on demand). No shuffle."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
@@ -224,4 +227,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "a", "b", "c", "d"][: len(cols)]).rename_columns(names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

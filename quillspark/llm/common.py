@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,36 @@ def ascii_lower(text: str) -> str:
     return text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
 
 
+#: Rows and bytes of whole texts that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, however long the texts are; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        size = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}").strip().lower())
+        number = int(size[1]) << 10 * " kmg".index(size[2] or " ") if size else 0
+        if not 0 < number <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def release_memory() -> None:
+    """Hands memory that Python has freed back to the system, where the C library can."""
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a Python worker that waits for its next task holds little memory."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def fold(doc_id: Column | str) -> Column:
     """crc32 of doc_id as text, mod 5; null ids have fold null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillspark.llm.common import small_batches, tidy
+
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
 #: Characters of the grams that rule windows out before the distance is computed.
@@ -160,6 +162,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance. No shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, distance int"
     out = None
@@ -179,13 +182,14 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
                     [doc_id, item_id, "distance"],
                 )
 
-        found = texts.mapInArrow(run, schema)
+        found = texts.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The documents, all columns, that hold no item. One pass for each block of items, no shuffle."""
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
     for block in item_blocks(items, item_id, text_col):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
@@ -195,5 +199,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, item_id: str = "item_id", t
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.matches(x.as_py()) for x in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, small_batches
 from quillspark.llm.hashing import mixed, word_hashes
 from quillspark.llm.token_shards import _file_system
 
@@ -526,6 +526,7 @@ def score(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
 
 def fit_and_score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the documents outside fold 1 and scores all: doc_id, held_out and the columns of score."""
+    small_batches(docs.sparkSession)
     held = F.coalesce(fold(id_col) == 1, F.lit(False))
     words = build(docs, path, ~held, text_col)
     out = score(docs, words, id_col, text_col)

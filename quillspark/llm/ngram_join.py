@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import dropped, shared_dir, stored
+from quillspark.llm.common import dropped, shared_dir, small_batches, stored, tidy
 from quillspark.llm.hashing import mixed, word_hashes
 
 WIDTH = 5
@@ -53,9 +53,9 @@ SMALL = 6
 FILTER_BITS = 1 << 25
 #: One of so many texts is read to find frequent shingles: those of at least LEAST of them, and of 1 in 20,000.
 SAMPLE, LEAST = 16, 4
-FLUSH = 500_000
+FLUSH = 300_000
 #: Postings of a part, and hashes of the index and of the queries of a cell.
-PART, INDEX, ASKED = 2_000_000, 1 << 18, 1 << 16
+PART, INDEX, ASKED = 1_000_000, 1 << 18, 1 << 16
 _Q = 0xD6E8FEB86659FD93
 
 
@@ -166,7 +166,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = [shingles(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_of(x) for x in found], pa.int64())], ["doc_id", "n", "class"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n bigint, class bigint")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {kind}, n bigint, class bigint")
 
 
 def _postings(docs: DataFrame, text_col: str, parts: int, frequent: Broadcast | None) -> DataFrame:
@@ -210,7 +210,7 @@ def _postings(docs: DataFrame, text_col: str, parts: int, frequent: Broadcast |
         if held:
             yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "part int, hashes binary, classes binary").repartition(parts, "part")
+    return docs.select(text_col).mapInArrow(tidy(run), "part int, hashes binary, classes binary").repartition(parts, "part")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _lists(postings: DataFrame) -> DataFrame:
         if hashes:
             yield from merged(now, hashes, classes)
 
-    return postings.sortWithinPartitions("part").mapInArrow(run, "list bigint, class bigint")
+    return postings.sortWithinPartitions("part").mapInArrow(tidy(run), "list bigint, class bigint")
 
 
 def _filter_of(bits: DataFrame) -> Broadcast:
@@ -288,7 +288,7 @@ def _filtered_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["class", "set"])
 
     bit = F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))).otherwise(F.lit(-1))
-    sets = docs.select(text_col, bit.alias("bit")).mapInArrow(run, "class bigint, set binary")
+    sets = docs.select(text_col, bit.alias("bit")).mapInArrow(tidy(run), "class bigint, set binary")
     return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -322,7 +322,7 @@ def _counted(members: DataFrame) -> DataFrame:
         yield from merged(lists)
 
     dealt = members.select("list", "class", "n", "crowded").repartition("list").sortWithinPartitions("list", "class")
-    pairs = dealt.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, crowdeda bigint, crowdedb bigint, common bigint")
+    pairs = dealt.mapInArrow(tidy(run), "a bigint, b bigint, na bigint, nb bigint, crowdeda bigint, crowdedb bigint, common bigint")
     return pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("na", "nb", "crowdeda", "crowdedb")), F.sum("common").alias("common"))
 
 
@@ -341,7 +341,7 @@ def _probed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 nb.append(len(q))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n, na, nb))], ["a", "b", "common", "na", "nb"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, common bigint, na bigint, nb bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint, common bigint, na bigint, nb bigint")
 
 
 LINKED = "100 * common >= 80 * (na + nb - common)"
@@ -380,7 +380,7 @@ def _forest(edges: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+    return edges.select("u", "v").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -454,6 +454,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, parts: int | None = No
     """(doc_id, n, class) of every document, and (class, doc_id, n, root) of every class that isn't empty."""
     spark = docs.sparkSession
     shared_dir(spark)
+    small_batches(spark)
     base = stored(_sets(docs, id_col, text_col), "sets")
     classes = base.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     total = classes.agg(F.count("*"), F.sum("n")).first()
@@ -505,8 +506,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, but one of each component: that of the least id, then class, then other columns. Only
-    texts that a fixed-size filter of the doubtful ids lets pass are shuffled. Rows whose id is null are compared
-    with each other only: one of each text stays. Blank texts are one component for each id."""
+    texts that a fixed-size filter of the doubtful ids lets pass are shuffled. A row without an id stays only if no row of
+    its component has one. Blank texts are one component for each id. Columns whose
+    names start with _ngram_ are this function's own."""
     base, named = _grouped(docs, id_col, text_col)
     of_row = base.where("doc_id is not null").groupBy("doc_id", "class").agg(F.count("*").alias("rows")).join(named.select("class", "root"), "class", "left")
     best = of_row.where("class != 0").groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("best"))
@@ -514,29 +516,34 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doubtful = of_row.withColumn("of_id", F.count("*").over(Window.partitionBy("doc_id"))).where("not chosen or rows > 1 or of_id > 1")
     doubtful = stored(doubtful.select("doc_id", "class", "chosen"), "doubtful")
     # ids of which no row is chosen go at once; the rows of other doubtful ids are told apart by their class
-    gone = doubtful.groupBy("doc_id").agg(F.max("chosen").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
-    others = doubtful.where("not chosen").select(F.col("doc_id").alias("_other"), F.col("class").alias("_other_class"))
+    gone = doubtful.groupBy("doc_id").agg(F.max("chosen").alias("any")).where("not any").select(F.col("doc_id").alias("_ngram_gone"))
+    others = doubtful.where("not chosen").select(F.col("doc_id").alias("_ngram_other"), F.col("class").alias("_ngram_other_class"))
+    nameless = base.where("doc_id is null and n > 0").select("class").distinct().join(named.select("class", "root"), "class").join(best.select("root", F.lit(True).alias("has")), "root", "left")
+    first = nameless.where("has is null").groupBy("root").agg(F.min("class").alias("class"))
+    lost = stored(nameless.join(first, "class", "left_anti").select(F.col("class").alias("_ngram_lost")), "lost")
     shipped = id_filter(doubtful)
-    bit = docs.withColumn("_bit", F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))).otherwise(F.lit(-1)))
+    bit = docs.withColumn("_ngram_bit", F.when(F.col(id_col).isNotNull(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(FILTER_BITS))).otherwise(F.lit(-1)))
     at, text_at = len(docs.columns), docs.columns.index(text_col)
 
     def side(inside: bool):  # noqa: ANN202
+        """The rows that the filter lets pass, with their class, or the others."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 bits = np.asarray(batch.column(at))
-                yield batch.filter(pa.array(((bits < 0) | _passes(shipped.value, bits.clip(0))) == inside))
-
-        return bit.mapInArrow(run, bit.schema).drop("_bit")
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = pa.array([class_of(shingles(x.as_py())) for x in batch.column(text_at)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, "_class"])
-
-    rest = side(True).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    rest = rest.mapInArrow(classed, docs.select("*", F.lit(0).cast("bigint").alias("_class")).schema)
-    rest = rest.join(others, (F.col(id_col) == F.col("_other")) & (F.col("_class") == F.col("_other_class")), "left_anti")
-    apart = F.col(id_col).isNull() & (F.col("_class") == 0)  # blank texts without an id are copies of nothing
+                rows = batch.filter(pa.array(((bits < 0) | _passes(shipped.value, bits.clip(0))) == inside))
+                if inside:
+                    names = pa.array([class_of(shingles(x.as_py())) for x in rows.column(text_at)], pa.int64())
+                    rows = pa.RecordBatch.from_arrays([*rows.columns, names], [*rows.schema.names, "_ngram_class"])
+                yield rows
+
+        schema = bit.withColumn("_ngram_class", F.lit(0).cast("bigint")).schema if inside else bit.schema
+        return bit.mapInArrow(tidy(run), schema).drop("_ngram_bit")
+
+    rest = side(True).join(gone, F.col(id_col) == F.col("_ngram_gone"), "left_anti")
+    rest = rest.join(others, (F.col(id_col) == F.col("_ngram_other")) & (F.col("_ngram_class") == F.col("_ngram_other_class")), "left_anti")
+    rest = rest.join(lost, F.col(id_col).isNull() & (F.col("_ngram_class") == F.col("_ngram_lost")), "left_anti")
+    apart = F.col(id_col).isNull() & (F.col("_ngram_class") == 0)  # blank texts without an id are copies of nothing
     order = [F.col(c.name) for c in docs.schema if c.dataType.typeName() not in ("map", "variant")]
-    one = rest.where(~apart).withColumn("_place", F.row_number().over(Window.partitionBy(id_col, "_class").orderBy(*order))).where("_place = 1")
-    return side(False).unionByName(one.drop("_class", "_place")).unionByName(rest.where(apart).drop("_class"))
+    one = rest.where(~apart).withColumn("_ngram_place", F.row_number().over(Window.partitionBy(id_col, "_ngram_class").orderBy(*order))).where("_ngram_place = 1")
+    return side(False).unionByName(one.drop("_ngram_class", "_ngram_place")).unionByName(rest.where(apart).drop("_ngram_class"))

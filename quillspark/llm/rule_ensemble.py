@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, small_batches
 
 STATISTICS = (
     "n_words", "mean_word", "symbol_share", "upper_share", "digit_share", "bar_share", "bang_share",
@@ -202,6 +202,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> RuleModel:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """The id, further columns and the statistics of every whole text. No shuffle."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.select(id_col, *more).schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + "".join(f", {x} double" for x in STATISTICS)
 

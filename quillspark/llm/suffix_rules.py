@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import WORD
+from quillspark.llm.common import WORD, small_batches
 
 #: The symbols that the base rules count.
 SYMBOLS = "#*$%&|<>"
@@ -121,6 +121,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int, int]:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row per document with its measures, base_failed and kept. No shuffle."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "base_failed", "kept"]
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{x} bigint" for x in names[1:8]) + ", base_failed boolean, kept boolean"

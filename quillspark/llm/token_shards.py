@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small_batches
+
 SEQ = 256
 HEADER = 16
 RECORDS = 16_384
@@ -164,6 +166,7 @@ def read_slots(path: str, start: int, stop: int, seq: int = SEQ, records: int =
 def materialise(docs: DataFrame, ranks_path: str, pattern: str, path: str, id_col: str = "doc_id", text_col: str = "text", seq: int = SEQ, records: int = RECORDS, key: int = KEY, parts: int | None = None) -> DataFrame:
     """Writes the shards when its rows are read: one row per sequence with doc_id, sequence, n_tokens, slot, shard, byte_offset, crc32."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(ranks_path)
     end = len(ranks)
     if end >= 1 << 16:

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold
+from quillspark.llm.common import fold, release_memory, small_batches, tidy
 
 BUCKETS = 1 << 20
 DIM = 8
 NGRAMS = (4, 5, 6, 7)
-MAX_PER_CLASS = 1000
+MAX_PER_CLASS = 800
 EPOCHS = 10
 #: A row whose presence tells the classes apart by a chi-square of so much counts half; shrinkage for each batch.
 TRUST, DECAY = 40.0, 1e-4
@@ -115,15 +115,20 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 30.0 if len(labels) and labels.min() == 1 else -30.0)
     rng, size, scale, f = np.random.default_rng(seed), 128, 30.0, np.float32  # scale: a text's vector is a mean over hundreds of words
-    rows_of, share = np.unique(np.concatenate([b for b, _ in bags])), labels.mean()
-    found = [np.searchsorted(rows_of, b) for b, _ in bags]
+    seen = np.zeros(BUCKETS, bool)
+    for b, _ in bags:
+        seen[b] = True
+    rows_of, share = np.flatnonzero(seen), labels.mean()
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    found = [number[b] for b, _ in bags]
     texts, toxic = np.zeros(len(rows_of)), np.zeros(len(rows_of))
     for at, label in zip(found, labels, strict=True):
         texts[at] += 1
         toxic[at] += label
     chi = (toxic - texts * share) ** 2 / (texts * share * (1 - share))
     trust = scale * chi / (chi + TRUST)
-    bags = [(at, (w * trust[at]).astype(f)) for at, (_, w) in zip(found, bags, strict=True)]
+    trust = trust.astype(f)
+    bags = [(at, w.astype(f) * trust[at]) for at, (_, w) in zip(found, bags, strict=True)]
     emb, soft, bias = rng.normal(0, 0.1, (DIM, len(rows_of))).astype(f), rng.normal(0, 0.5, (DIM, 2)).astype(f), np.zeros(2, f)
     seen_emb, seen_soft, seen_bias = (np.full_like(x, 1e-8) for x in (emb, soft, bias))
     cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(f)
@@ -169,6 +174,7 @@ def sample_labels(labels: DataFrame, per_class: int, id_col: str = "doc_id") ->
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> Model:
     """Trains on labelled documents outside fold 0. Executors make the bags; the driver gets at most 2 * per_class."""
+    small_batches(docs.sparkSession)
     known = training_labels(labels, column, id_col)
     picked = docs.select(id_col, text_col).join(F.broadcast(sample_labels(known, per_class, id_col)), id_col).select(id_col, text_col, "label")
     prior = known.agg(F.avg("label").alias("p")).first()["p"]
@@ -182,15 +188,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str =
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    made = picked.mapInArrow(bags, f"id {kind}, label int, buckets binary, weights binary")
-    rows = made.groupBy("id").agg(F.min(F.struct("buckets", "weights", "label")).alias("r")).collect()
-    rows.sort(key=lambda r: r["id"])
-    found = [(np.frombuffer(r["r"]["buckets"], "<i4").astype(np.int64), np.frombuffer(r["r"]["weights"], "<f4")) for r in rows]
-    return train(found, np.array([r["r"]["label"] for r in rows], np.int64), prior or 0.0)
+    made = picked.mapInArrow(tidy(bags), f"id {kind}, label int, buckets binary, weights binary")
+    least = made.groupBy("id").agg(F.min(F.struct("buckets", "weights", "label")).alias("r")).select("id", "r.*")
+    rows = least.toArrow().combine_chunks().sort_by("id")
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+    model = train(list(zip(read("buckets", "<i4"), read("weights", "<f4"), strict=True)), rows.column("label").to_numpy().astype(np.int64), prior or 0.0)
+    del rows
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per document: id, held_out, score, predicted. No shuffle."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -202,12 +212,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 odds = np.clip(own.log_odds(part.column(1).to_pylist()), -500, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-odds)))], [id_col, "score"])
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    out = docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, score double")
     return out.select(id_col, F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score is below the threshold. No shuffle."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((model.value, model.bias))
     at = docs.columns.index(text_col)
 
@@ -219,4 +230,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
                 odds = np.clip(own.log_odds(part.column(at).to_pylist()), -500, 500)
                 yield part.filter(pa.array(1 / (1 + np.exp(-odds)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
