@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import config
 from quillspark.functions.unicode import composed, without_diacritics
-from quillspark.operators import ledger, media, providers, runs
+from quillspark.operators import ledger, media, providers, runs, steps
 from quillspark.sources import sinks, tables
 
 
@@ -82,6 +82,14 @@ def test_screening_in_order(spark):
     assert got == {1: ("ACCEPT", []), 2: ("REJECT", ["duplicate_text_of:1"]), 3: ("REJECT", ["no_usable_image_after_screening"]), 4: ("ACCEPT", []), 5: ("REJECT", ["text_too_short:5<200", "no_declared_image"])}
 
 
+def test_blindness(spark):
+    anchors = "array<struct<atom_id:string,excerpt:string>>"
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = spark.createDataFrame([([("a0", "w1 w2"), ("a1", "w3")],), ([("a0", " ".join(["w"] * 41))],)], f"anchors {anchors}")
+    got = [list(r[0]) for r in rows.select(steps.blindness_errors(F.col("anchors"), F.lit(text))).collect()]
+    assert got == [[], ["excerpt_leak_ratio:0.410", "a0:excerpt_too_long"]]
+
+
 def test_jpeg_size(spark):
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x30\x00\x40\x03" + b"\0" * 20
     rows = spark.createDataFrame([(1, bytearray(jpeg)), (2, bytearray(b"no")), (3, None)], "id int, content binary")
