@@ -85,6 +85,18 @@ def excerpt_budget(c: Column | str, anchors: int, share: float = 0.35, most: int
     return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(word_count(c) * share / anchors))).cast("bigint")
 
 
+def file_slug(c: Column | str, most: int = 80) -> Column:
+    """A file name from a URL: its last part without query, other characters as one underscore, and a digest's start."""
+    part = F.regexp_extract(col(c), r"([^/?#]*)/?(?:[?#].*)?$", 1)
+    plain = F.regexp_replace(F.regexp_replace(part, r"[^A-Za-z0-9._-]+", "_"), r"^_+|_+$", "")
+    return F.concat_ws("_", F.when(plain != "", F.left(plain, F.lit(most))), F.left(F.sha2(col(c), 256), F.lit(10)))
+
+
+def query_slug(c: Column | str, most: int = 60) -> Column:
+    """A search query as a file name: ASCII letters and digits, others as one dash."""
+    return F.left(F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), F.lit(most))
+
+
 def slug(c: Column | str) -> Column:
     s = F.regexp_replace(F.lower(col(c)), r"(?U)[^\w\s-]", "")
     return F.regexp_replace(strip(s), r"(?U)[\s_-]+", "_")

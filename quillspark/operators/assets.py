@@ -23,6 +23,13 @@ DOMAINS = {
 }
 
 
+def kind(url: Column, content_type: Column) -> Column:
+    """What an asset is, by its URL's ending or its type: pdf, image or page."""
+    bare = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
+    given = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.when(bare.endswith(".pdf") | given.contains("pdf"), "pdf").when(bare.rlike(r"\.(?:png|jpe?g|gif|webp)$") | given.startswith("image/"), "image").otherwise("page")
+
+
 def any_of(c: Column, tokens: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for t in tokens:

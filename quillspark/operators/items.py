@@ -61,6 +61,28 @@ def release_language_reasons(question: Column, options: Column, truth: Column, r
     return M.artifacts(merged)
 
 
+def release_filter(items: DataFrame, position: str, examples: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, counts, examples) of the release language filter: fields are sanitised, rows with reasons go; counts are by
+    reason and split, `changed` counts rows that sanitising changed; examples are the first that went."""
+    texts = ["question", "ground_truth", "legal_rationale"]
+    clean = items.withColumns({f"_{c}": M.sanitize(c) for c in texts} | {"_options": F.transform("candidate_answers", M.sanitize)})
+    changed = F.lit(False)
+    for c in texts:
+        changed = changed | ~F.col(f"_{c}").eqNullSafe(F.col(c))
+    clean = clean.withColumn("_changed", changed | ~F.col("_options").eqNullSafe(F.col("candidate_answers")))
+    clean = clean.withColumn("reasons", M.artifacts(F.concat_ws(" ", *[f"_{c}" for c in texts], F.array_join("_options", " "))))
+    good = clean.where(F.size("reasons") == 0).select(*[F.col(f"_{c}").alias(c) if c in texts else F.col("_options").alias(c) if c == "candidate_answers" else F.col(c) for c in items.columns])
+    marks = F.concat(F.when(F.size("reasons") == 0, F.array(F.lit("kept"))).otherwise(F.concat(F.array(F.lit("removed")), "reasons")), F.when(F.col("_changed"), F.array(F.lit("changed"))).otherwise(F.array().cast("array<string>")))
+    counts = clean.select("split", F.explode(marks).alias("mark")).groupBy("split", "mark").agg(F.count("*").alias("n"))
+    gone = clean.where(F.size("reasons") > 0).orderBy(position).limit(examples).select(position, "reasons")
+    return good, counts, gone
+
+
+def stamped(items: DataFrame, flags: Column) -> DataFrame:
+    """items with _quality: flags and what to do."""
+    return items.withColumn("_flags", flags).withColumn("_quality", F.struct(F.col("_flags").alias("flags"), triage(F.col("_flags")).alias("triage"))).drop("_flags")
+
+
 def eval_ready_language_reasons(*texts: Column) -> Column:
     """The other rule set: any ideograph, or scaffold wording; nothing is sanitised."""
     merged = F.concat_ws(" ", *texts)

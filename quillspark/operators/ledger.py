@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,3 +89,27 @@ def document_splits(rows: DataFrame, doc: str, multimodal: str, seed: int, train
     splits = spark.createDataFrame(list(chosen.items()), f"_doc {kind}, split string")
     side = F.broadcast(splits) if len(chosen) <= 100_000 else splits
     return rows.join(side, F.col(doc).eqNullSafe(F.col("_doc"))).drop("_doc")
+
+
+def resumed(rows: DataFrame, done: DataFrame, key: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results kept from before for the rows at hand, and those of processing the others. A key without a result, because
+    its result was empty or couldn't be read, has none in `done` and is processed again."""
+    kept = done.join(rows.select(key).distinct(), key, "left_semi")
+    return kept.unionByName(process(unfinished(rows, done, key)))
+
+
+def pairing_faults(trials: DataFrame, item: str, arm: str, attached: str) -> DataFrame:
+    """(item, fault) of the items that haven't both arms, or whose image is not attached in the arm with it, or is in the other."""
+    by = trials.groupBy(item).agg(F.count_distinct(arm).alias("arms"), F.bool_and(F.col(arm) == F.col(attached)).alias("sound"))
+    return by.select(item, F.when(F.col("arms") < 2, "missing_arm").when(~F.col("sound"), "image_not_as_arm_says").alias("fault")).where("fault is not null")
+
+
+def last_reports(reports: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The last report of each key: later files win."""
+    return reports.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in reports.columns if c not in (*keys, position)]), position).alias("_r")).select(*keys, "_r.*")
+
+
+def extremes(coverage: DataFrame, value: str, key: str, n: int = 15) -> DataFrame:
+    """The n lowest and n highest rows by a value, ties by key, with their end."""
+    low = coverage.orderBy(value, key).limit(n).withColumn("end", F.lit("lowest"))
+    return low.unionByName(coverage.orderBy(F.desc(value), key).limit(n).withColumn("end", F.lit("highest")))

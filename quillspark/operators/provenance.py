@@ -28,6 +28,14 @@ def stamp(records: DataFrame, run_id: str, context: str = "context_text", column
     return records.withColumn("_provenance", F.coalesce(F.col("_provenance"), made) if "_provenance" in records.columns else made)
 
 
+def reasons(verified: DataFrame) -> DataFrame:
+    """verify()'s rows with why a record fails: no stamp, changed content, changed context."""
+    why = F.array(
+        F.when(~F.col("has_provenance"), "no_provenance"), F.when(F.col("has_provenance") & ~F.coalesce("content_ok", F.lit(False)), "content_hash_mismatch"), F.when(~F.coalesce("context_ok", F.lit(True)), "context_hash_mismatch")
+    )
+    return verified.withColumn("reasons", F.array_compact(why))
+
+
 def verify(records: DataFrame, context: str = "context_text", columns: tuple[str, ...] = CONTENT) -> DataFrame:
     """records with has_provenance, content_ok and context_ok, which is null where nothing was stored."""
     p = F.col("_provenance")

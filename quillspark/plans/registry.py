@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillspark.plans import assets, contracts, documents, items, media, release, reports, runs, statistics, steps  # noqa: F401
+    from quillspark.plans import assets, audits, contracts, documents, items, media, release, reports, runs, statistics, steps  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
