@@ -253,8 +253,8 @@ def _filter_of(bits: DataFrame) -> Broadcast:
     """A broadcast bit array of a fixed size from a column bit."""
     rows = bits.selectExpr("cast(bit div 32 as int) as at", "shiftleft(1L, cast(bit % 32 as int)) as bits").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     words = np.zeros(FILTER_BITS // 32, np.int64)
-    packed = rows.toPandas()
-    words[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
+    packed = rows.toArrow()
+    words[packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
     return bits.sparkSession.sparkContext.broadcast(words.astype(np.uint32))
 
 

@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str
     chosen = known.orderBy(F.xxhash64(F.col(id_col), F.lit(23)), id_col).limit(max_train)
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     least = F.min(F.struct(*STATISTICS, "label")).alias("r")  # of several texts under one id
-    rows = with_statistics(picked, id_col, text_col, ("label",)).groupBy(id_col).agg(least).select(id_col, "r.*").toPandas().sort_values(id_col)
+    rows = with_statistics(picked, id_col, text_col, ("label",)).groupBy(id_col).agg(least).select(id_col, "r.*").toArrow().to_pandas().sort_values(id_col)
     return train(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["label"].to_numpy(int))
 
 
