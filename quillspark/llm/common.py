@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +45,32 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+#: Bytes of input for each part that a shuffle deals to.
+PART_BYTES = 64 << 20
+
+
+def parts_for(rows: DataFrame, least: int) -> int:
+    """Parts for a shuffle of rows: at least as many as the session's, and one for each PART_BYTES that they are read from."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, own, size // PART_BYTES if size < 1 << 60 else 0)  # sources of unknown size report the largest number
+
+
+def dealt(rows: DataFrame, parts: int, column: str = "part") -> DataFrame:
+    """rows by part number, each part in a partition of its own: numbers are exchanged for keys that hash to different
+    partitions."""
+    tried = 20 * parts + 1000
+    spots = rows.sparkSession.range(tried).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("spot"), F.col("id").cast("int").alias("id")).groupBy("spot").agg(F.min("id").alias("id"))
+    keys = [r["id"] for r in spots.collect()]
+    if len(keys) < parts:
+        return rows.repartition(parts, column)
+    return rows.repartition(parts, F.element_at(F.array(*[F.lit(k) for k in keys]), F.col(column) + 1))
+
+
 def release_memory() -> None:
     """Hands memory that Python has freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

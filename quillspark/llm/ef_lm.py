@@ -17,7 +17,7 @@ place in its class the offset, and the high bits' zeros lead to the only bucket
 lookups are vectorised over a batch. Levels are files in the shared folder, written under temporary
 names and renamed, and memory-mapped by scoring tasks (from other stores they are fetched to an
 unlinked local file first), so a task's heap stays small whatever the corpus. Counting shuffles packed
-arrays of distinct words and pairs; both grow with the input and are dealt to as many parts as the shuffle has.
+arrays of distinct words and pairs; both grow with the input, and so does the number of parts they are dealt to.
 
 Cases: null and blank texts have the end as their only token. Without training texts every
 probability is 1. Two words with one 64-bit hash count as one (chance V**2 / 2**65). Null ids count
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, small_batches
+from quillspark.llm.common import dealt, fold, parts_for, small_batches
 from quillspark.llm.hashing import mixed, word_hashes
 from quillspark.llm.token_shards import _file_system
 
@@ -346,7 +346,7 @@ def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
 def build(docs: DataFrame, path: str, training: Column, text_col: str = "text", parts: int | None = None) -> Words:
     """Writes both levels below path."""
     spark = docs.sparkSession
-    parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, 4)
     texts = docs.where(training).select(text_col)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +376,8 @@ def build(docs: DataFrame, path: str, training: Column, text_col: str = "text",
             write_level(path, f"words-{part:06d}", {f"hash.{k}": x for k, x in hashes.items()} | {"counts": counts.astype(kind)})
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["part", "words", "tokens"])
 
-    dealt = texts.mapInArrow(count_words, "part int, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
-    sizes = {r["part"]: (r["words"], r["tokens"]) for r in dealt.mapInArrow(write_words, "part int, words bigint, tokens bigint").collect()}
+    gathered = dealt(texts.mapInArrow(count_words, "part int, keys binary, counts binary"), parts).sortWithinPartitions("part")
+    sizes = {r["part"]: (r["words"], r["tokens"]) for r in gathered.mapInArrow(write_words, "part int, words bigint, tokens bigint").collect()}
     words = Words(path, sizes, parts)
     kind = "<u4" if words.distinct < 1 << 32 else "<u8"
 
@@ -464,8 +464,8 @@ def build(docs: DataFrame, path: str, training: Column, text_col: str = "text",
         return out
 
     if sizes:
-        dealt = texts.mapInArrow(count_pairs, "part int, first binary, second binary, small binary, large binary").repartition(parts, "part").sortWithinPartitions("part")
-        dealt.mapInArrow(write_pairs, "pairs bigint").agg(F.sum("pairs").alias("pairs")).collect()
+        gathered = dealt(texts.mapInArrow(count_pairs, "part int, first binary, second binary, small binary, large binary"), parts).sortWithinPartitions("part")
+        gathered.mapInArrow(write_pairs, "pairs bigint").agg(F.sum("pairs").alias("pairs")).collect()
     return words
 
 

@@ -7,13 +7,16 @@ until it falls below N, maps each number to its slot: a permutation of 0 .. N-1
 can compute or invert alone. Records are dealt to ranges of slots, sorted, and written as shards
 of a fixed number of records of fixed stride, so slot s lies at byte (s % records) * stride of shard
 s // records, and a reader resumes anywhere. Shards are written under a temporary name in their
-folder and renamed, so a task that is run again, or twice at once, leaves the same whole files.
+folder and renamed, so a task that is run again, or twice at once, leaves the same whole files. Each range goes to
+a task of its own.
 
 Record: doc_id int64, sequence number in the document uint32, number of ids uint16, two spare bytes,
 then SEQ ids as uint16 (padding: the end id), all little-endian.
 
+Both passes must see the same partitions, as those of a table: an input that is shuffled anew may not.
+
 Cases: null and empty texts give one sequence with the end id alone. Null ids are written as -1 and
-reported as null. Repeated rows are sequences of their own. Empty table: no shard and no row. Special
+reported as null, and so is an id of -1; ids must be whole numbers. Ties can't occur: every sequence has a slot of its own. Repeated rows are sequences of their own. Empty table: no shard and no row. Special
 strings in a text are ordinary text. Only the id and text columns are read; texts are never cut short.
 """
 
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import dealt, parts_for
 
 SEQ = 256
 HEADER = 16
@@ -166,7 +169,6 @@ def read_slots(path: str, start: int, stop: int, seq: int = SEQ, records: int =
 def materialise(docs: DataFrame, ranks_path: str, pattern: str, path: str, id_col: str = "doc_id", text_col: str = "text", seq: int = SEQ, records: int = RECORDS, key: int = KEY, parts: int | None = None) -> DataFrame:
     """Writes the shards when its rows are read: one row per sequence with doc_id, sequence, n_tokens, slot, shard, byte_offset, crc32."""
     spark = docs.sparkSession
-    small_batches(spark)
     ranks = read_ranks(ranks_path)
     end = len(ranks)
     if end >= 1 << 16:
@@ -185,7 +187,7 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, path: str, id_co
     first, so_far = {}, 0
     for part in sorted(counts):
         first[part], so_far = so_far, so_far + counts[part]
-    parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or parts_for(docs, 4)
     shards = -(-total // records)
     per_part = max(1, -(-shards // parts))
     system, base = _file_system(path)
@@ -241,5 +243,5 @@ def materialise(docs: DataFrame, ranks_path: str, pattern: str, path: str, id_co
         ]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "sequence", "n_tokens", "slot", "shard", "byte_offset", "crc32"])
 
-    records_of = source.mapInArrow(cut, "part int, slot bigint, record binary").repartition(parts, "part").sortWithinPartitions("slot")
+    records_of = dealt(source.mapInArrow(cut, "part int, slot bigint, record binary"), parts).sortWithinPartitions("slot")
     return records_of.mapInArrow(write, "doc_id bigint, sequence bigint, n_tokens bigint, slot bigint, shard bigint, byte_offset bigint, crc32 bigint")
