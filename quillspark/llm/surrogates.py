@@ -219,12 +219,15 @@ def _canons(m: Column) -> Column:
 
 
 def _parts(found: Column) -> Column:
-    """Map from the words of a text's titled names, as written and in capitals, to their canonical values."""
+    """Map from the words of a text's titled names, as written and in capitals, to their canonical values; of a word with
+    several, the least. Distinct mentions only, and sorted, so a text with many names takes no longer than sorting them."""
     words = lambda m: F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
     entry = lambda w, c: F.array(F.struct(w.alias("key"), c.alias("value")), F.struct(F.upper(w).alias("key"), c.alias("value")))
-    each = F.flatten(F.flatten(F.transform(F.filter(found, _is_name), lambda m: F.zip_with(words(m), _canons(m), entry))))
-    first = F.filter(each, lambda e, i: ~F.exists(F.slice(each, F.lit(1), i), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(first)
+    mentions = F.array_distinct(F.filter(found, _is_name))
+    each = F.array_sort(F.array_distinct(F.flatten(F.flatten(F.transform(mentions, lambda m: F.zip_with(words(m), _canons(m), entry))))))
+    # bound once: inside a lambda the sorted array itself would be made for every element
+    first = lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["key"] != e["key"]))
+    return F.map_from_entries(F.element_at(F.transform(F.array(each), first), 1))
 
 
 def _replaced(m: Column, retried: Column, parts: Column) -> Column:
