@@ -29,7 +29,7 @@ from quillspark.llm.common import small_batches, tidy
 #: The pre-token pattern of byte-level BPE and its table of printable stand-ins for bytes.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Entries that a worker keeps of each kind before it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_symbols() -> dict[int, str]:
