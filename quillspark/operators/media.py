@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -20,6 +23,8 @@ FRONT = (r"^\s*mục\s*lục", r"^\s*table\s+of\s+contents", r"^\s*danh\s+mục"
 SCAN_FAULTS = (r"[^\x{00}-\x{7F}\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]{5,}", r"[□▪■]{3,}", r"\.{5,}", r"\s{10,}", r"([A-Z0-9]{1,3}\s*){8,}")
 LEGAL = ("điều", "khoản", "điểm", "nghị định", "thông tư", "luật", "quyết định", "bộ luật", "tội phạm", "hợp đồng", "thừa kế", "đất đai", "thuế", "hôn nhân", "tố tụng", "hình sự", "dân sự", "hành chính", "kinh tế")
 MIN_TEXT, MIN_PIXELS, MIN_BYTES, COVER = 200, 64, 2048, r"(?i)_page_0_"
+#: Rows, one an image of an open chunk, that one task settles.
+AT_ONCE = 200_000
 MIN_RECTS, MIN_CURVES, MANY_RECTS, SHORT_TEXT = 3, 6, 5, 300
 
 
@@ -100,11 +105,27 @@ def _held(df: DataFrame) -> DataFrame:
     return df
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The accepted ones among open chunks that come in id order, each with its text and images."""
+    texts: set[str] = set()
+    taken: set[str] = set()
+    for batch in batches:
+        accepted = []
+        for i, (text, images) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if text not in texts and not taken.issuperset(images):
+                texts.add(text)
+                taken.update(images)
+                accepted.append(i)
+        yield batch.take(pa.array(accepted, pa.int64())).select([0, 1])
+
+
 def screened(chunks: DataFrame, images: DataFrame) -> DataFrame:
     """chunk_id, decision and reasons of multimodal chunks taken in id order: what a chunk and its images fail by
     themselves, then texts and images that chunks accepted before already have. images: chunk_id, pos, name, bytes, width,
-    height, sha256; a null sha256 is unresolved. Who is a duplicate depends on who was accepted, so chunks are settled in
-    rounds: those that are the first open one for each of their texts and images that nobody has yet."""
+    height, sha256; a null sha256 is unresolved. Who is a duplicate depends on who was accepted, so open chunks are settled
+    in rounds: those that are the first open one for their text and for an image are accepted, and then those go whose text
+    or whose last image a chunk before them has. One task settles the rest in id order once it has AT_ONCE rows or fewer.
+    Which of the two a rejected chunk lacks is told at the end. An id that is repeated counts once, by its least text."""
     c = F.col
     bad = c("sha256").isNull() | c("width").isNull() | (F.least("width", "height") < MIN_PIXELS) | (c("bytes") < MIN_BYTES) | c("name").rlike(COVER)
     rows = images.select("chunk_id", c("sha256").isNull().alias("lost"), F.when(~F.coalesce(bad, F.lit(True)), c("sha256")).alias("good"))
@@ -112,25 +133,27 @@ def screened(chunks: DataFrame, images: DataFrame) -> DataFrame:
     reasons = F.array_compact(F.array(
         F.when(c("chars") < MIN_TEXT, F.concat(F.lit("text_too_short:"), c("chars").cast("string"), F.lit(f"<{MIN_TEXT}"))), F.when(c("lost").isNull(), "no_declared_image"), F.when(c("lost") > 0, "image_unresolved"),
     ))
-    all_ = chunks.select("chunk_id", F.concat(F.lit("t:"), F.sha2(squeeze("text"), 256)).alias("text_key"), F.length("text").alias("chars")).join(per, "chunk_id", "left").withColumn("reasons", reasons)
-    fit = all_.where(F.size("reasons") == 0).select("chunk_id", c("text_key").alias("key"))
-    own = rows.where("good is not null").join(fit, "chunk_id", "left_semi").select("chunk_id", F.concat(F.lit("i:"), "good").alias("key")).distinct()
-    left = _held(fit.unionByName(own))
-    taken, done = None, all_.where(F.size("reasons") > 0).select("chunk_id", "reasons")
-    while not left.isEmpty():
-        known = left.withColumn("owner", F.lit(None).cast(left.schema["chunk_id"].dataType)) if taken is None else left.join(taken, "key", "left")
-        first = known.where("owner is null").groupBy("key").agg(F.min("chunk_id").alias("first"))
-        known = known.join(first, "key", "left")
-        free = c("owner").isNull()
-        ready = known.groupBy("chunk_id").agg(
-            F.bool_and(~free | (c("first") == c("chunk_id"))).alias("ready"), F.max(F.when(c("key").startswith("t:"), c("owner"))).alias("twin"), F.count_if(c("key").startswith("i:") & free).alias("usable")
-        ).where("ready")
-        why = F.when(c("twin").isNotNull(), F.array(F.concat(F.lit("duplicate_text_of:"), c("twin").cast("string")))).when(c("usable") == 0, F.array(F.lit("no_usable_image_after_screening"))).otherwise(F.array().cast("array<string>"))
-        ready = _held(ready.select("chunk_id", why.alias("reasons")))
-        done = done.unionByName(ready)
-        new = known.where(free).join(ready.where(F.size("reasons") == 0), "chunk_id", "left_semi").select("key", c("chunk_id").alias("owner"))
-        taken = _held(new if taken is None else taken.unionByName(new))
-        left = _held(left.join(ready, "chunk_id", "left_anti"))
+    all_ = chunks.select("chunk_id", F.sha2(squeeze("text"), 256).alias("text"), F.length("text").alias("chars")).join(per, "chunk_id", "left").withColumn("reasons", reasons)
+    fit = _held(all_.where(F.size("reasons") == 0).groupBy("chunk_id").agg(F.min("text").alias("text")))
+    left = _held(fit.join(rows.where("good is not null").select("chunk_id", c("good").alias("image")).distinct(), "chunk_id"))
+    accepted = None
+    while True:
+        few = left.count() <= AT_ONCE
+        if few:
+            queue = left.groupBy("chunk_id").agg(F.first("text").alias("text"), F.collect_list("image").alias("images"))
+            new = queue.repartition(1).sortWithinPartitions("chunk_id").mapInArrow(_settled, fit.schema)
+        else:
+            first = left.groupBy("text").agg(F.min("chunk_id").alias("chunk_id"))
+            new = first.join(left.groupBy("image").agg(F.min("chunk_id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "text")
+        new = _held(new)
+        accepted = new if accepted is None else accepted.unionByName(new)
+        if few:
+            break
+        taken = left.join(new.select("chunk_id"), "chunk_id", "left_semi").groupBy("image").agg(F.min("chunk_id").alias("by"))
+        left = _held(left.join(new.select("text"), "text", "left_anti").join(taken, "image", "left").where("by is null or by > chunk_id").select("chunk_id", "text", "image"))
+    judged = fit.join(accepted.select("text", c("chunk_id").alias("owner")), "text", "left")
+    why = F.when(c("owner") == c("chunk_id"), F.array().cast("array<string>")).when(c("owner") < c("chunk_id"), F.array(F.concat(F.lit("duplicate_text_of:"), c("owner").cast("string")))).otherwise(F.array(F.lit("no_usable_image_after_screening")))
+    done = all_.where(F.size("reasons") > 0).select("chunk_id", "reasons").unionByName(judged.select("chunk_id", why.alias("reasons")))
     return done.select("chunk_id", F.when(F.size("reasons") == 0, "ACCEPT").otherwise("REJECT").alias("decision"), "reasons")
 
 

@@ -1,6 +1,7 @@
 """Providers, sinks, manifests, splits, screening and settings."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,27 @@ def test_screening_in_order(spark):
     assert got == {1: ("ACCEPT", []), 2: ("REJECT", ["duplicate_text_of:1"]), 3: ("REJECT", ["no_usable_image_after_screening"]), 4: ("ACCEPT", []), 5: ("REJECT", ["text_too_short:5<200", "no_declared_image"])}
 
 
+def test_screening_as_taken_one_by_one(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(40), sorted({rng.randrange(60) for _ in range(rng.randrange(1, 4))})) for i in range(400)]
+    chunks = spark.createDataFrame([(i, "x " * 150 + str(t)) for i, t, _ in rows], "chunk_id int, text string")
+    images = spark.createDataFrame([(i, k, "i", 9000, 100, 100 if g % 7 else 10, str(g)) for i, _, gs in rows for k, g in enumerate(gs)], "chunk_id int, pos int, name string, bytes int, width int, height int, sha256 string")
+    owner, taken, want = {}, set(), {}
+    for i, t, gs in rows:
+        new = {g for g in gs if g % 7} - taken
+        want[i] = [f"duplicate_text_of:{owner[t]}"] if t in owner else [] if new else ["no_usable_image_after_screening"]
+        if not want[i]:
+            owner[t] = i
+            taken |= new
+    held, calls = media._held, []
+    monkeypatch.setattr(media, "_held", lambda df: calls.append(1) or held(df))
+    for at_once in (0, 30, 10_000):  # in rounds alone, both, in one task alone
+        monkeypatch.setattr(media, "AT_ONCE", at_once, raising=False)
+        calls.clear()
+        assert {r.chunk_id: list(r.reasons) for r in media.screened(chunks, images).collect()} == want
+        assert len(calls) <= 40
+
+
 def test_blindness(spark):
     anchors = "array<struct<atom_id:string,excerpt:string>>"
     text = " ".join(f"w{i}" for i in range(100))
