@@ -3,8 +3,8 @@
 A word is the bag of its whole form and its character n-grams (of its UTF-8 bytes, with marks for
 start and end), hashed into BUCKETS rows of an embedding. A word's vector is the mean of its rows, a
 text's vector the mean of its words' vectors, and two softmax outputs are linear in it. Embedding
-and softmax are trained together by gradient descent in numpy on the driver, on at most MAX_PER_CLASS
-labelled texts of each class (chosen by hash; documented bound). Every row that a training text has is
+and softmax are trained together by gradient descent in numpy in one task, on at most MAX_PER_CLASS
+labelled texts of each class (chosen by hash; documented bound); the driver gets the model alone. Every row that a training text has is
 trained, weighed by how far its presence tells the classes apart; rows that none has stay zero. As everything after the embedding is linear, scoring needs one
 number per bucket, which is broadcast (BUCKETS floats whatever the corpus). Misspelt words that were
 never seen share n-grams with those that were.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, release_memory, small_batches, tidy
+from quillspark.llm.common import fold, small_batches, tidy
 
 BUCKETS = 1 << 20
 DIM = 8
@@ -129,7 +129,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     trust = scale * chi / (chi + TRUST)
     trust = trust.astype(f)
     bags = [(at, w.astype(f) * trust[at]) for at, (_, w) in zip(found, bags, strict=True)]
-    emb, soft, bias = rng.normal(0, 0.1, (DIM, len(rows_of))).astype(f), rng.normal(0, 0.5, (DIM, 2)).astype(f), np.zeros(2, f)
+    emb, soft, bias = np.stack([rng.normal(0, 0.1, len(rows_of)).astype(f) for _ in range(DIM)]), rng.normal(0, 0.5, (DIM, 2)).astype(f), np.zeros(2, f)
     seen_emb, seen_soft, seen_bias = (np.full_like(x, 1e-8) for x in (emb, soft, bias))
     cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(f)
     for epoch in range(epochs):
@@ -173,7 +173,7 @@ def sample_labels(labels: DataFrame, per_class: int, id_col: str = "doc_id") ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS) -> Model:
-    """Trains on labelled documents outside fold 0. Executors make the bags; the driver gets at most 2 * per_class."""
+    """Trains on labelled documents outside fold 0. Executors make the bags; one task trains on at most 2 * per_class."""
     small_batches(docs.sparkSession)
     known = training_labels(labels, column, id_col)
     picked = docs.select(id_col, text_col).join(F.broadcast(sample_labels(known, per_class, id_col)), id_col).select(id_col, text_col, "label")
@@ -190,12 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     made = picked.mapInArrow(tidy(bags), f"id {kind}, label int, buckets binary, weights binary")
     least = made.groupBy("id").agg(F.min(F.struct("buckets", "weights", "label")).alias("r")).select("id", "r.*")
-    rows = least.toArrow().combine_chunks().sort_by("id")
-    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
-    model = train(list(zip(read("buckets", "<i4"), read("weights", "<f4"), strict=True)), rows.column("label").to_numpy().astype(np.int64), prior or 0.0)
-    del rows
-    release_memory()
-    return model
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().sort_by("id")
+        read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+        model = train(list(zip(read("buckets", "<i4"), read("weights", "<f4"), strict=True)), rows.column("label").to_numpy().astype(np.int64), prior or 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["value", "bias"])
+
+    found = least.coalesce(1).mapInArrow(tidy(trained), "value binary, bias double").first()
+    return Model(np.frombuffer(found["value"], "<f4"), found["bias"]) if found else train([], np.zeros(0, np.int64), 0.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -180,6 +180,15 @@ def test_number_cipher_is_a_bijection(spark):
     assert len(set(moved)) == 1000 and all(len(x) == 3 for x in moved)
 
 
+def test_toxicity_trains_away_from_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta {'vile' if i % 2 else 'kind'} w{i}") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("bags on the driver"))
+    odds = toxicity.fit(docs, labels).log_odds(["vile", "kind"])
+    assert odds[0] > odds[1]
+    assert toxicity.fit(docs, labels.where("false")).log_odds(["vile"])[0] == -30
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(1)
     words = [f"{a}{b}" for a in ("stone", "river", "cloud", "field", "table") for b in ("s", "ly", "ing", "er", "ed")]
