@@ -22,9 +22,7 @@ strings in a text are ordinary text. Only the id and text columns are read; text
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +38,8 @@ HEADER = 16
 RECORDS = 16_384
 KEY = 0x5EED5EED
 ROUNDS = 6
+#: The library looks for special strings; it gets one, and takes it as ordinary text where a text holds it.
+UNUSED = "<|unused|>"
 
 
 def stride(seq: int = SEQ) -> int:
@@ -85,22 +85,22 @@ def permute(index: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 
 
 class Coder:
-    """The library's byte-pair encoder over a rank file."""
+    """The library's byte-pair encoder over a rank file. Ids are taken from its buffer of 32-bit numbers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={UNUSED: len(ranks)}).encode_to_numpy
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        return self.encode(text, allowed_special=set(), disallowed_special=()) if text else np.zeros(0, np.uint32)
 
     def count(self, text: str | None) -> int:
-        return len(self.encode(text)) if text else 0
+        return len(self.numbers(text))
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian uint16."""
-        made = array("H", self.encode(text) if text else ())
-        if sys.byteorder == "big":
-            made.byteswap()
-        return made.tobytes()
+        return self.numbers(text).astype("<u2").tobytes()
 
 
 _coder: dict[int, Coder] = {}
