@@ -4,10 +4,13 @@ Every page becomes its lines of text, one a block, each with the zone its markup
 are ordered by (host, path, id); a page is paired with the neighbour in that order on the same host
 whose path shares the longer prefix (ties: the one before). The lines of both are aligned by longest
 common subsequence (bit-parallel, whole pages), and shared lines are deleted: they belong to the
-site, not to the page. An exact check of the markup follows. A shared line inside the page's main
-container (article, main) is article text that happens to recur, and comes back; a line in a zone
-that can't be article text (navigation, page header and footer, asides, adverts, notices, forms,
-scripts, reader comments), or outside the main container of a page that has one, goes as well.
+site, not to the page. An exact check of the markup follows. A shared line of the page's main
+container (article, main) comes back if it is the container's own text (its h1, bare paragraphs) or
+stands in a kind of box that holds unshared text too: that is article text which happens to recur.
+A kind of box is an element with a class, or a further container, inside the container or beside it,
+told by its name and class and those around it; one that holds nothing but shared lines stays deleted. A line in
+a zone that can't be article text (navigation, page header and footer, asides, adverts, notices,
+forms, scripts, reader comments), or outside the main container of a page that has one, goes as well.
 
 Hosts may hold any share of the pages: pages are dealt to ranges of the order, and each range also
 gets the page before and after it, so every page meets its true neighbours and no host has to fit
@@ -15,7 +18,8 @@ in a task. The driver gets a bounded sample of keys and two keys a range.
 
 Cases: null html has no text; null URLs count as host '' and path ''. Equal URLs are ordered by id;
 a page that is alone on its host has no shared lines. A copy can't tell a site's lines from the page's own, so
-a page without a main container is not paired with one: the other neighbour is taken, or none. Repeated rows give repeated results. Empty
+a page is not paired with one: the other neighbour is taken, or none. With a main container, a copy is a page that shares
+half of the container's text or more; without, one that is equal outside side zones. Repeated rows give repeated results. Empty
 table: empty result. Only the named columns are read. No text is cut.
 """
 
@@ -46,12 +50,20 @@ SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 MAIN_WORDS = re.compile(r"(?:^|\s)(?:article-body|article-content|post-body|post-content|entry-content|main-content|story-body|content-main)(?:$|\s)", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: Elements that make a kind of box by their class, inside a main container.
+BOXES = set("address article center details div dl figure main ol p section table ul".split())
+_CLASS = re.compile(r"""(?<![\w-])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Zones; any number above OUT is a kind of box inside the main container.
 PLAIN, MAIN, OUT = 0, 1, 2
 
 
+def in_main(zone: int) -> bool:
+    return zone == MAIN or zone > OUT
+
+
 def _zone(name: str, attributes: str, outer: int) -> int:
     """The zone inside an element that stands in zone `outer`."""
-    if outer == OUT or name in SIDE or (name == "header" and outer != MAIN):
+    if outer == OUT or name in SIDE or (name == "header" and not in_main(outer)):
         return OUT
     for m in _ATTR.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -67,12 +79,57 @@ def _zone(name: str, attributes: str, outer: int) -> int:
     return MAIN if name in ("article", "main") else outer
 
 
-def page_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, zone) of every block that has text, in page order."""
-    lines: list[tuple[str, int]] = []
+class Lines(list):
+    """(text, zone) of every block that has text, in page order; outer[k - OUT - 1] is the zone around the kind of boxes k."""
+
+    outer: tuple[int, ...] = ()
+
+
+class _Kinds:
+    """Numbers the kinds of boxes in a page's main container."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str, str], int] = {}
+        self.made: list[tuple[int, str, str]] = []
+        self.first: tuple[str, str] | None = None
+        self.title = False
+
+    def zone(self, name: str, attributes: str, outer: int, inner: int) -> int:
+        """The zone inside an element within the main container, given the one that _zone tells."""
+        if in_main(outer) and name not in BLOCKS:
+            return outer
+        if name == "h1" and in_main(outer) and not self.title:
+            self.title = True
+            return MAIN
+        further = inner == MAIN and (outer != MAIN or name in ("article", "main"))
+        found = _CLASS.search(attributes) if attributes and (further or name in BOXES) else None
+        kind = re.sub(r"\d+", "0", " ".join(sorted((found[1] or found[2] or found[3] or "").split()))) if found else ""
+        if not in_main(outer):  # a page's first container, and those like it, have no kind
+            self.first = self.first or (name, kind)
+            if self.first == (name, kind):
+                return MAIN
+        elif not kind and not further:
+            return inner
+        at = outer
+        while at > OUT:  # elements whose end tags were left out nest in their like
+            key = self.made[at - OUT - 1]
+            if key[1:] == (name, kind):
+                return at
+            at = key[0]
+        key = (outer, name, kind)
+        if key not in self.numbers:
+            self.made.append(key)
+            self.numbers[key] = OUT + len(self.made)
+        return self.numbers[key]
+
+
+def page_lines(page: str | None) -> Lines:
+    """The lines of a page."""
+    lines = Lines()
     if not page:
         return lines
     stack: list[tuple[str, int]] = []
+    kinds = _Kinds()
     parts: list[str] = []
     zone, at, size = PLAIN, 0, len(page)
 
@@ -117,15 +174,19 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
                 zone = stack.pop()[1]  # its end tag was left out
         if name not in VOID and not m[3].endswith("/"):
             inner = _zone(name, m[3], zone)
+            if in_main(inner):
+                inner = kinds.zone(name, m[3], zone, inner)
             if inner != zone:
                 close()
             stack.append((name, zone))
             zone = inner
     close()
+    if kinds.made:
+        lines.outer = tuple(key[0] for key in kinds.made)
     return lines
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Indexes of a that a longest common subsequence with b takes."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -138,7 +199,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     y = [s for s in y if s in set(x)] if x else []
     if not x or not y:
         return out
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, s in enumerate(x):
         masks[s] = masks.get(s, 0) | 1 << i
     full = (1 << len(x)) - 1
@@ -162,14 +223,36 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
+def deleted(lines: Lines, other: Lines) -> set[int]:
+    """Indexes of the lines that a page shares with another. Lines of a main container don't meet side zones' lines."""
+    if any(in_main(z) for _, z in lines):
+        return shared([(t, z == OUT) for t, z in lines], [(t, z == OUT) for t, z in other])
+    return shared([t for t, _ in lines], [t for t, _ in other])
+
+
+def tells_apart(lines: Lines, other: Lines) -> bool:
+    """Whether a page differs enough from another for shared lines to be the site's."""
+    if not any(in_main(z) for _, z in lines):
+        return [t for t, z in other if z != OUT] != [t for t, z in lines if z != OUT]
+    if not lines.outer:
+        return True  # all of the container comes back anyway
+    gone = deleted(lines, other)
+    inside = [(len(t), i in gone) for i, (t, z) in enumerate(lines) if in_main(z)]
+    return 2 * sum(n for n, met in inside if met) < sum(n for n, _ in inside)
+
+
+def main_text(lines: Lines, other: Lines | None) -> str:
     """What is left of a page after its shared lines are deleted and the markup is checked."""
-    deleted = shared([t for t, _ in lines], [t for t, _ in other]) if other else set()
-    has_main = any(z == MAIN for _, z in lines)
+    gone = deleted(lines, other) if other else set()
+    has_main = any(in_main(z) for _, z in lines)
+    owning: set[int] = set()
+    for z in {z for i, (_, z) in enumerate(lines) if i not in gone}:
+        while z > OUT and z not in owning:
+            owning.add(z)
+            z = lines.outer[z - OUT - 1]
     kept = []
     for i, (text, zone) in enumerate(lines):
-        own = i not in deleted
-        if zone == MAIN or (own and zone == PLAIN and not has_main):
+        if zone == MAIN or zone in owning or (zone == PLAIN and not has_main and i not in gone):
             kept.append(text)
     return " ".join(kept)
 
@@ -251,10 +334,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             host, path, _ = key.split("\x01", 2)
             beside = [(-len(commonprefix([path, h[1]])), near) for near in (prev, following) if near and near[0] == part and (h := near[1].split("\x01", 2))[0] == host]
             lines, other = pickle.loads(blob), None
-            has_main = any(z == MAIN for _, z in lines)
             for _, near in sorted(beside, key=lambda x: x[0]):
                 found = pickle.loads(near[5])
-                if has_main or [t for t, z in found if z != OUT] != [t for t, z in lines if z != OUT]:
+                if tells_apart(lines, found):
                     other = found
                     break
             out_ids.append(pid)
